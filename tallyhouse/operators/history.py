@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import status as st
+from tallyhouse.operators.skew import hot_keys
 
 EVENTS_PER_ROW = 10_000
 
@@ -58,48 +59,55 @@ def _short_histories(events: DataFrame, initial: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("ts", "event_id", "to_status"))).alias("events")
     )
     chain = F.aggregate("events", start, step, lambda acc: acc["chain"])
-    rows = gathered.select("order_id", chain.alias("chain"), F.explode("events").alias("event"))
+    folded = gathered.select("order_id", "events", chain.alias("chain"))  # once per order, so ahead of explode
+    rows = folded.select("order_id", "chain", F.explode("events").alias("event"))
     return _judged(rows.select("order_id", "chain", "event.*"), initial)
 
 
 def _long_histories(events: DataFrame, long_orders: DataFrame, initial: str) -> DataFrame:
     """The chain grown one accepted event at a time: each is the earliest event after the last one
     that the state allows, a minimum that combines before the shuffle. No order's events meet in one
-    task, and the number of steps is the longest path through the states."""
-    state = long_orders.select("order_id", F.lit(initial).alias("state"), _no_entries(events).alias("chain"))
-    for _ in range(st.longest_path()):
-        last = F.try_element_at("chain", F.lit(-1))
-        later = last.isNull() | (F.col("ts") > last["ts"]) | (
-            (F.col("ts") == last["ts"]) & (F.col("event_id") > last["event_id"])
-        )
-        allowed = later & st.is_move(F.col("state"), F.col("to_status"))
-        entry = _entry(F.col("ts"), F.col("event_id"), F.col("to_status"))
-        state = (
-            events.join(state, "order_id")
-            .groupBy("order_id")
-            .agg(
-                F.any_value("state").alias("state"),
-                F.any_value("chain").alias("chain"),
-                F.min(F.when(allowed, entry)).alias("next"),
-            )
-            .select(
-                "order_id",
-                F.coalesce("next.status", "state").alias("state"),
-                F.when(F.col("next").isNull(), F.col("chain"))
-                .otherwise(F.concat("chain", F.array("next"))).alias("chain"),
-            )
+    task, and the number of steps is the longest path through the states.
+
+    The steps are stated in one SQL text, since Spark would otherwise analyse a plan that grows with
+    every step again and again.
+    """
+    moves = " OR ".join(
+        f"(state = '{state}' AND to_status IN ({', '.join(repr(target) for target in targets)}))"
+        for state, targets in st.MOVES.items()
+    )
+    entry = "named_struct('ts', e.ts, 'event_id', e.event_id, 'status', e.to_status)"
+    steps = ["s0 AS (SELECT order_id, :initial AS state, NULL AS taken, array() AS chain FROM {long_orders})"]
+    for n in range(st.longest_path()):
+        later = "taken IS NULL OR e.ts > taken.ts OR (e.ts = taken.ts AND e.event_id > taken.event_id)" if n else "true"
+        so_far = "chain" if n else "array()"
+        steps.append(
+            f"""f{n} AS (
+              SELECT e.order_id, any_value(state) AS state, any_value({so_far}) AS chain,
+                     min({entry}) FILTER (WHERE ({later}) AND ({moves})) AS taken
+              FROM {{events}} AS e JOIN s{n} ON e.order_id = s{n}.order_id GROUP BY e.order_id),
+            s{n + 1} AS (
+              SELECT order_id, coalesce(taken.status, state) AS state, taken,
+                     CASE WHEN taken IS NULL THEN chain ELSE concat(chain, array(taken)) END AS chain
+              FROM f{n})"""
         )
-    return _judged(events.join(state.select("order_id", "chain"), "order_id"), initial)
+    last = f"s{st.longest_path()}"
+    rows = events.sparkSession.sql(
+        f"""WITH {", ".join(steps)}
+            SELECT e.order_id, e.event_id, e.ts, e.to_status, chain
+            FROM {{events}} AS e JOIN {last} ON e.order_id = {last}.order_id""",
+        args={"initial": initial}, events=events, long_orders=long_orders,
+    )
+    return _judged(rows, initial)
 
 
 def status_history(events: DataFrame, initial: str = "PENDING", events_per_row: int = EVENTS_PER_ROW) -> DataFrame:
     """Every event with the state it met and whether it was accepted."""
     events = events.select("order_id", "event_id", "ts", "to_status")
-    long_orders = (
-        events.groupBy("order_id").agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > events_per_row)
-        .select("order_id")
-    )
+    long_orders = hot_keys(events, "order_id", events_per_row)
+    if long_orders is None:
+        return _short_histories(events, initial)
+    long_orders = long_orders.select("order_id")
     short = _short_histories(events.join(long_orders, "order_id", "left_anti"), initial)
     long = _long_histories(events.join(long_orders, "order_id", "left_semi"), long_orders, initial)
     return short.unionByName(long)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import address
+from tallyhouse.operators.skew import hot_keys
 
 ITEMS_PER_ROW = 10_000
 ITEM_FIELDS = ("id", "product_id", "product_name", "product_sku", "quantity", "unit_price", "total_price")
@@ -17,18 +18,15 @@ def nest_items(items: DataFrame, items_per_row: int = ITEMS_PER_ROW) -> DataFram
     A list is held in memory as one value, so an order above ``items_per_row`` items is spread by
     the hash of the item id over as many parts as keep the lists near that length. Nothing is cut.
     """
-    long_orders = (
-        items.groupBy("order_id")
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > items_per_row)
-        .select("order_id", F.ceil(F.col("_n") / items_per_row).alias("_parts"))
-    )
-    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0)).cast("int")
-    return (
-        items.join(long_orders, "order_id", "left")
-        .withColumn("part", part)
-        .groupBy("order_id", "part")
-        .agg(F.sort_array(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items"))
+    long_orders = hot_keys(items, "order_id", items_per_row)
+    if long_orders is None:
+        parted = items.withColumn("part", F.lit(0))
+    else:
+        parts = long_orders.select("order_id", F.ceil(F.col("rows") / items_per_row).alias("_parts"))
+        part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0)).cast("int")
+        parted = items.join(parts, "order_id", "left").withColumn("part", part)
+    return parted.groupBy("order_id", "part").agg(
+        F.sort_array(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items")
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import money
 from tallyhouse.functions import status as st
+from tallyhouse.operators.skew import hot_keys
 
 PRODUCT = ("product_id", "product_name", "product_sku")
 
@@ -255,6 +256,8 @@ def replenishment_candidates(
 # --- bought together ---------------------------------------------------------------------------
 
 PAIR_SLICE = 1_000
+PAIR_KEY = ("product_id", "product_name")
+PAIR = ("product1_id", "product1_name", "product2_id", "product2_name")
 
 
 def bought_together(
@@ -263,41 +266,61 @@ def bought_together(
     """Pairs of products within one sold order, counted per pair of lines, at least ``min_frequency``.
 
     The lines are first collapsed to one row per order and product with their count; a pair then
-    adds the product of both counts, so repeated lines never multiply rows. A product whose best
-    possible pair stays below ``min_frequency`` (its lines times the largest line count it meets,
-    summed over its orders) is dropped before pairing; no pair is lost by that. Orders with more than
-    ``pair_slice`` products are paired slice by slice in separate tasks.
+    adds the product of both counts, so repeated lines never multiply rows. Orders with more than
+    ``pair_slice`` lines take their own way, see ``_long_order_pairs``.
     """
-    key = ["product_id", "product_name"]
-    lines = (
-        sold_items(items.select("order_id", *key), orders)
-        .groupBy("order_id", *key).agg(F.count("*").alias("lines"))
-    )
-    sizes = lines.groupBy("order_id").agg(
-        F.ceil(F.count("*") / pair_slice).cast("int").alias("slices"), F.max("lines").alias("most")
-    )
-    lines = lines.join(sizes, "order_id")
-    if min_frequency > 1:
-        frequent = lines.groupBy(*key).agg(F.sum(F.col("lines") * F.col("most")).alias("reach"))
-        frequent = frequent.where(F.col("reach") >= min_frequency)
-        lines = lines.join(frequent, key, "left_semi")
-    first = lines.select(
-        "order_id",
-        F.pmod(F.xxhash64("product_id"), F.col("slices")).cast("int").alias("slice"),
-        F.col("product_id").alias("product1_id"), F.col("product_name").alias("product1_name"),
-        F.col("lines").alias("lines1"),
-    )
-    second = lines.select(
-        "order_id",
-        F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
-        F.col("product_id").alias("product2_id"), F.col("product_name").alias("product2_name"),
-        F.col("lines").alias("lines2"),
-    )
-    pairs = (
-        first.join(second, ["order_id", "slice"])
+    sold = sold_items(items.select("order_id", *PAIR_KEY), orders)
+    long_orders = hot_keys(items, "order_id", pair_slice)
+    if long_orders is None:
+        pairs = _pairs(_collapsed(sold), _collapsed(sold), ["order_id"])
+    else:
+        long_orders = long_orders.select("order_id")
+        short = _collapsed(sold.join(long_orders, "order_id", "left_anti"))
+        long = _collapsed(sold.join(long_orders, "order_id", "left_semi"))
+        if min_frequency > 1:
+            long = _within_reach(long, short.unionByName(long), min_frequency)
+        pairs = _pairs(short, short, ["order_id"]).unionByName(_long_order_pairs(long, pair_slice))
+    counted = pairs.groupBy(*PAIR).agg(F.sum("frequency").alias("frequency"))
+    return _top(counted.where(F.col("frequency") >= min_frequency), "frequency", PAIR, n)
+
+
+def _collapsed(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("order_id", *PAIR_KEY).agg(F.count("*").alias("lines"))
+
+
+def _pairs(first: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:
+    """Every pair of different products on the same key, in the order of their ids."""
+
+    def side(lines: DataFrame, n: int) -> DataFrame:
+        return lines.withColumnsRenamed(
+            {"product_id": f"product{n}_id", "product_name": f"product{n}_name", "lines": f"lines{n}"}
+        )
+
+    return (
+        side(first, 1).join(side(second, 2), on)
         .where(F.col("product1_id") < F.col("product2_id"))
-        .groupBy("product1_id", "product1_name", "product2_id", "product2_name")
-        .agg(F.sum(F.col("lines1") * F.col("lines2")).alias("frequency"))
-        .where(F.col("frequency") >= min_frequency)
+        .select(*PAIR, (F.col("lines1") * F.col("lines2")).alias("frequency"))
+    )
+
+
+def _within_reach(lines: DataFrame, everywhere: DataFrame, min_frequency: int) -> DataFrame:
+    """Drop products no pair of which can be frequent: the lines of the product times the largest line
+    count in the order, summed over all orders, bounds the count of each of its pairs from above."""
+    most = everywhere.groupBy("order_id").agg(F.max("lines").alias("most"))
+    reach = (
+        everywhere.join(most, "order_id")
+        .groupBy(*PAIR_KEY).agg(F.sum(F.col("lines") * F.col("most")).alias("reach"))
+        .where(F.col("reach") >= min_frequency)
     )
-    return _top(pairs, "frequency", ("product1_id", "product1_name", "product2_id", "product2_name"), n)
+    return lines.join(reach, list(PAIR_KEY), "left_semi")
+
+
+def _long_order_pairs(lines: DataFrame, pair_slice: int) -> DataFrame:
+    """The pairs of long orders: one side of an order is cut into slices of about ``pair_slice``
+    products, the other is repeated for each, so that its pairs arise in as many tasks."""
+    slices = lines.groupBy("order_id").agg(F.ceil(F.count("*") / pair_slice).cast("int").alias("_slices"))
+    sliced = lines.join(slices, "order_id")
+    own = F.pmod(F.xxhash64("product_id"), F.col("_slices")).cast("int")
+    first = sliced.withColumn("slice", own).drop("_slices")
+    second = sliced.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    return _pairs(first, second, ["order_id", "slice"])

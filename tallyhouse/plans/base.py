@@ -151,7 +151,7 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
         FROM part"""),
     "i": (("p",), """
         SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-                         strftime(l_shipdate, '%Y%m%d'), cast(l_quantity AS int)) AS id,
+                         date_diff('day', DATE '1970-01-01', l_shipdate), cast(l_quantity AS int)) AS id,
                l_orderkey AS order_id, l_partkey AS product_id, p.name AS product_name, p.sku AS product_sku,
                cast(l_quantity AS int) AS quantity, p.price AS unit_price,
                cast(p.price * cast(l_quantity AS int) AS decimal(10,2)) AS total_price,

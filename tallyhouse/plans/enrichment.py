@@ -254,16 +254,16 @@ QUERIES: dict[str, Registered] = {
     "dq_requests": Registered(
         lambda s: quality.dq_requests(
             s.headers.withColumn(
-                "billing_address", F.when(F.col("user_id") % 10 != 0, F.col("billing_address"))
+                "billing_address", F.when(F.col("billing_address.state") != "ASIA", F.col("billing_address"))
             ),
             s.lines.withColumn("quantity", F.col("quantity") - 3),
         ),
         with_sql(
             """SELECT id AS request_id, cast(NULL AS bigint) AS line_no, 'items_missing' AS rule FROM o
                WHERE id NOT IN (SELECT request_id FROM rl)
-               UNION ALL SELECT id, NULL, 'billing_missing' FROM o WHERE user_id % 10 = 0
+               UNION ALL SELECT id, NULL, 'billing_missing' FROM oa WHERE state = 'ASIA'
                UNION ALL SELECT request_id, line_no, 'quantity_below_one' FROM rl WHERE quantity <= 3""",
-            "o", "rl",
+            "oa", "rl",
         ),
     ),
     "reconcile_totals": Registered(

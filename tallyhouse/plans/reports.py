@@ -233,6 +233,18 @@ QUERIES: dict[str, Registered] = {
             "i", "o",
         ),
     ),
+    "bought_together_sliced": Registered(
+        lambda s: stats.bought_together(s.items, s.orders, 2, pair_slice=6),
+        with_sql(
+            """SELECT x.product_id AS product1_id, x.product_name AS product1_name,
+                      y.product_id AS product2_id, y.product_name AS product2_name, count(*) AS frequency
+               FROM i x, i y, o
+               WHERE x.order_id = y.order_id AND x.product_id < y.product_id AND o.id = x.order_id
+                 AND o.status IN ('SHIPPED', 'DELIVERED')
+               GROUP BY ALL HAVING count(*) >= 2""",
+            "i", "o",
+        ),
+    ),
     "bought_together_all": Registered(
         lambda s: stats.bought_together(s.items, s.orders, 1),
         with_sql(

@@ -10,18 +10,13 @@ from tallyhouse.sources import star
 from tallyhouse.streaming import jobs
 
 
-def _stream(shop: Shop, table: str) -> DataFrame:
-    schema = shop.spark.read.parquet(f"{shop.folder}/{table}.parquet").schema
-    return shop.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(shop.folder)
-
-
 def _order_stream(shop: Shop) -> DataFrame:
-    return _stream(shop, "orders").select(*star.order_columns())
+    return star.stream_table(shop.spark, shop.folder, "orders").select(*star.order_columns())
 
 
 def _machine(shop: Shop) -> DataFrame:
     shop.spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
-    events = _stream(shop, "events").select(*star.event_columns())
+    events = star.stream_table(shop.spark, shop.folder, "events").select(*star.event_columns())
     return jobs.run_once(jobs.stream_status_machine(events))
 
 

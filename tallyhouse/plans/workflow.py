@@ -15,12 +15,12 @@ NOW = datetime(2024, 6, 1)
 
 
 def _catalogue(shop: Shop) -> DataFrame:
-    """The products without every 23rd one, so that some requests ask for an unknown product."""
-    return shop.products.where(F.col("id") % 23 != 0)
+    """The products without one brand, so that some requests ask for an unknown product."""
+    return shop.products.where(~F.col("sku").startswith("Brand#7-"))
 
 
 # the catalogue, lines judged against it, and the verdict per request
-CATALOGUE = "c AS (SELECT * FROM p WHERE id % 23 <> 0)"
+CATALOGUE = "c AS (SELECT * FROM p WHERE sku NOT LIKE 'Brand#7-%')"
 JUDGED = f"""{CATALOGUE},
 judged AS (
   SELECT rl.*, c.name, c.sku, c.price, coalesce(c.available_quantity, 0) AS stock,
@@ -68,8 +68,8 @@ def _created(shop: Shop) -> requests.Created:
 
 
 def _numbered(shop: Shop) -> DataFrame:
-    """New numbers for every order, where every sixth order has number 2 of its millisecond already."""
-    taken = shop.orders.where(F.col("id") % 6 == 0).select(
+    """New numbers for every order, where number 2 is taken in the milliseconds of the pending orders."""
+    taken = shop.orders.where(F.col("status") == "PENDING").select(
         F.concat(
             F.lit("ORD-"), F.unix_millis(F.col("created_at").cast("timestamp")).cast("string"), F.lit("-0002")
         ).alias("order_number")
@@ -167,7 +167,7 @@ QUERIES: dict[str, Registered] = {
         with_sql(
             """SELECT request_id, count(*) AS line_count,
                       CASE WHEN count(*) = count(p.id) THEN cast(sum(price * quantity) AS double) END AS total_amount
-               FROM rl LEFT JOIN p ON p.id = rl.product_id AND p.id % 23 <> 0 GROUP BY request_id""",
+               FROM rl LEFT JOIN p ON p.id = rl.product_id AND p.sku NOT LIKE 'Brand#7-%' GROUP BY request_id""",
             "rl", "p",
         ),
     ),
@@ -183,7 +183,7 @@ QUERIES: dict[str, Registered] = {
                FROM o LEFT JOIN (
                  SELECT request_id, coalesce(p.in_stock AND p.available_quantity >= q, false) AS ok
                  FROM (SELECT request_id, product_id, sum(quantity) AS q FROM rl GROUP BY ALL) w
-                 LEFT JOIN p ON p.id = w.product_id AND p.id % 23 <> 0) ON request_id = o.id
+                 LEFT JOIN p ON p.id = w.product_id AND p.sku NOT LIKE 'Brand#7-%') ON request_id = o.id
                GROUP BY o.id""",
             "o", "rl", "p",
         ),
@@ -193,7 +193,7 @@ QUERIES: dict[str, Registered] = {
         with_sql(
             """SELECT request_id, cast(line_no AS bigint) AS line_no, product_id, cast(quantity AS bigint) AS quantity,
                       coalesce(p.in_stock AND p.available_quantity >= quantity, false) AS sufficient
-               FROM rl LEFT JOIN p ON p.id = rl.product_id AND p.id % 23 <> 0""",
+               FROM rl LEFT JOIN p ON p.id = rl.product_id AND p.sku NOT LIKE 'Brand#7-%'""",
             "rl", "p",
         ),
     ),
@@ -223,7 +223,7 @@ QUERIES: dict[str, Registered] = {
     "assign_order_numbers": Registered(
         _numbered,
         with_sql(
-            """, taken AS (SELECT DISTINCT created_at FROM o WHERE id % 6 = 0),
+            """, taken AS (SELECT DISTINCT created_at FROM o WHERE status = 'PENDING'),
                ranked AS (SELECT id, created_at, row_number() OVER (PARTITION BY created_at ORDER BY id) AS r FROM o)
                SELECT ranked.id, ranked.created_at,
                       'ORD-' || cast(epoch_ms(ranked.created_at) AS varchar) || '-' || lpad(cast(

@@ -28,8 +28,29 @@ PAYMENT_STATES = ("PENDING", "PROCESSING", "COMPLETED", "FAILED", "CANCELLED", "
 PAYMENT_METHODS = ("CREDIT_CARD", "DEBIT_CARD", "PAYPAL", "STRIPE", "BANK_TRANSFER", "DIGITAL_WALLET", "GIFT_CARD")
 
 
+# Stated, so that no job has to read file footers before planning.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of the files in the folder."""
+    stream = spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
+    return stream.parquet(folder)
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
@@ -127,7 +148,7 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
         "-",
         F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
         F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
-        F.date_format("l_shipdate", "yyyyMMdd"), quantity.cast("string"),
+        F.unix_date(F.col("l_shipdate").cast("date")).cast("string"), quantity.cast("string"),
     )
     return _table(spark, folder, "lineitem").select(
         item_id.alias("id"),
