@@ -24,6 +24,11 @@ MAX_LENGTHS = {
 REQUIRED = ("addressLine1", "city", "state", "postalCode", "country")
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """The pattern covers the whole text; ``$`` alone would let a line break follow."""
+    return text.rlike(rf"\A(?:{pattern})\z")
+
+
 def parse(json: Column) -> Column:
     """Struct from JSON text; null where the text is null or is no JSON object (see ``is_broken``)."""
     return F.from_json(json, ADDRESS, {"mode": "PERMISSIVE"})
@@ -112,7 +117,7 @@ def is_valid_postal(a: Column) -> Column:
     country = F.upper(a["country"])
     valid = F.lit(True)
     for names, pattern in reversed(POSTAL_FORMATS):
-        valid = F.when(country.isin(*names), a["postalCode"].rlike(pattern)).otherwise(valid)
+        valid = F.when(country.isin(*names), matches(a["postalCode"], pattern)).otherwise(valid)
     known = a["country"].isNotNull() & a["postalCode"].isNotNull()
     return F.coalesce(F.when(known, valid), F.lit(False))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.functions import address
 from tallyhouse.operators.enrich import formatted_amount
 
 # Payment defaults, notification types with subject and priority, default texts.
@@ -238,6 +239,6 @@ def enrich_notifications(notifications: DataFrame) -> DataFrame:
         {
             "is_immediate": F.col("priority").isin("HIGH", "MEDIUM"),
             "is_email": F.coalesce(recipient.contains("@"), F.lit(False)),
-            "is_sms": F.coalesce(recipient.rlike(PHONE), F.lit(False)),
+            "is_sms": F.coalesce(address.matches(recipient, PHONE), F.lit(False)),
         }
     )

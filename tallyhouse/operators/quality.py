@@ -65,7 +65,7 @@ def _address_rules(a: Column, prefix: str = "") -> dict[str, Column]:
     rules = {f"{prefix}{name}_blank": ~address.filled(a[name]) for name in address.REQUIRED}
     for name, limit in address.MAX_LENGTHS.items():
         rules[f"{prefix}{name}_too_long"] = F.length(a[name]) > limit
-    rules[f"{prefix}postalCode_characters"] = ~a["postalCode"].rlike(address.POSTAL_CHARACTERS)
+    rules[f"{prefix}postalCode_characters"] = ~address.matches(a["postalCode"], address.POSTAL_CHARACTERS)
     return rules
 
 
