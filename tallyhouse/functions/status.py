@@ -57,10 +57,15 @@ def next_statuses(status: Column) -> Column:
     return F.coalesce(reachable, F.array().cast("array<string>"))
 
 
-def is_move(current: Column, target: Column) -> Column:
+def moves(enforce_final: bool = False) -> dict[str, tuple[str, ...]]:
+    """The allowed moves; ``enforce_final`` leaves none out of a final state, delivered ones included."""
+    return {state: targets for state, targets in MOVES.items() if not (enforce_final and state in FINAL)}
+
+
+def is_move(current: Column, target: Column, enforce_final: bool = False) -> Column:
     """True where ``current -> target`` is an allowed move; null on either side is not."""
     allowed = F.lit(False)
-    for state, targets in MOVES.items():
+    for state, targets in moves(enforce_final).items():
         allowed = allowed | ((current == state) & target.isin(*targets))
     return _flag(allowed)
 

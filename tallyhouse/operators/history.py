@@ -28,7 +28,7 @@ def _no_entries(events: DataFrame) -> Column:
     return F.array().cast(sample.schema["chain"].dataType)
 
 
-def _judged(rows: DataFrame, initial: str) -> DataFrame:
+def _judged(rows: DataFrame, initial: str, enforce_final: bool) -> DataFrame:
     """Give each event the state it met, looked up in the chain of its order."""
 
     def earlier(entry: Column) -> Column:
@@ -39,15 +39,15 @@ def _judged(rows: DataFrame, initial: str) -> DataFrame:
     met = F.try_element_at(F.filter("chain", earlier), F.lit(-1))
     return rows.withColumn("from_status", F.coalesce(met["status"], F.lit(initial))).select(
         "order_id", "event_id", "ts", "from_status", "to_status",
-        st.is_move(F.col("from_status"), F.col("to_status")).alias("accepted"),
+        st.is_move(F.col("from_status"), F.col("to_status"), enforce_final).alias("accepted"),
     )
 
 
-def _short_histories(events: DataFrame, initial: str) -> DataFrame:
+def _short_histories(events: DataFrame, initial: str, enforce_final: bool) -> DataFrame:
     """One fold over the sorted events of each order finds its chain."""
 
     def step(acc: Column, event: Column) -> Column:
-        accepted = st.is_move(acc["state"], event["to_status"])
+        accepted = st.is_move(acc["state"], event["to_status"], enforce_final)
         taken = F.array(_entry(event["ts"], event["event_id"], event["to_status"]))
         return F.named_struct(
             F.lit("state"), F.when(accepted, event["to_status"]).otherwise(acc["state"]),
@@ -61,10 +61,12 @@ def _short_histories(events: DataFrame, initial: str) -> DataFrame:
     chain = F.aggregate("events", start, step, lambda acc: acc["chain"])
     folded = gathered.select("order_id", "events", chain.alias("chain"))  # once per order, so ahead of explode
     rows = folded.select("order_id", "chain", F.explode("events").alias("event"))
-    return _judged(rows.select("order_id", "chain", "event.*"), initial)
+    return _judged(rows.select("order_id", "chain", "event.*"), initial, enforce_final)
 
 
-def _long_histories(events: DataFrame, long_orders: DataFrame, initial: str) -> DataFrame:
+def _long_histories(
+    events: DataFrame, long_orders: DataFrame, initial: str, enforce_final: bool
+) -> DataFrame:
     """The chain grown one accepted event at a time: each is the earliest event after the last one
     that the state allows, a minimum that combines before the shuffle. No order's events meet in one
     task, and the number of steps is the longest path through the states.
@@ -74,7 +76,7 @@ def _long_histories(events: DataFrame, long_orders: DataFrame, initial: str) ->
     """
     moves = " OR ".join(
         f"(state = '{state}' AND to_status IN ({', '.join(repr(target) for target in targets)}))"
-        for state, targets in st.MOVES.items()
+        for state, targets in st.moves(enforce_final).items()
     )
     entry = "named_struct('ts', e.ts, 'event_id', e.event_id, 'status', e.to_status)"
     steps = ["s0 AS (SELECT order_id, :initial AS state, NULL AS taken, array() AS chain FROM {long_orders})"]
@@ -98,18 +100,25 @@ def _long_histories(events: DataFrame, long_orders: DataFrame, initial: str) ->
             FROM {{events}} AS e JOIN {last} ON e.order_id = {last}.order_id""",
         args={"initial": initial}, events=events, long_orders=long_orders,
     )
-    return _judged(rows, initial)
+    return _judged(rows, initial, enforce_final)
 
 
-def status_history(events: DataFrame, initial: str = "PENDING", events_per_row: int = EVENTS_PER_ROW) -> DataFrame:
-    """Every event with the state it met and whether it was accepted."""
+def status_history(
+    events: DataFrame, initial: str = "PENDING", enforce_final: bool = False, events_per_row: int = EVENTS_PER_ROW
+) -> DataFrame:
+    """Every event with the state it met and whether it was accepted.
+
+    ``enforce_final`` refuses every change of a delivered order, its return included. An order with
+    more than ``events_per_row`` events is replayed without gathering them.
+    """
     events = events.select("order_id", "event_id", "ts", "to_status")
     long_orders = hot_keys(events, "order_id", events_per_row)
     if long_orders is None:
-        return _short_histories(events, initial)
+        return _short_histories(events, initial, enforce_final)
     long_orders = long_orders.select("order_id")
-    short = _short_histories(events.join(long_orders, "order_id", "left_anti"), initial)
-    long = _long_histories(events.join(long_orders, "order_id", "left_semi"), long_orders, initial)
+    short = _short_histories(events.join(long_orders, "order_id", "left_anti"), initial, enforce_final)
+    long_events = events.join(long_orders, "order_id", "left_semi")
+    long = _long_histories(long_events, long_orders, initial, enforce_final)
     return short.unionByName(long)
 
 

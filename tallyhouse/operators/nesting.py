@@ -17,17 +17,17 @@ def nest_items(items: DataFrame, items_per_row: int = ITEMS_PER_ROW) -> DataFram
 
     A list is held in memory as one value, so an order above ``items_per_row`` items is spread by
     the hash of the item id over as many parts as keep the lists near that length. Nothing is cut.
+    Rows are shuffled as they are: a list gathered ahead of the shuffle would be no smaller.
     """
     long_orders = hot_keys(items, "order_id", items_per_row)
+    listed = F.sort_array(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items")
     if long_orders is None:
-        parted = items.withColumn("part", F.lit(0))
-    else:
-        parts = long_orders.select("order_id", F.ceil(F.col("rows") / items_per_row).alias("_parts"))
-        part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0)).cast("int")
-        parted = items.join(parts, "order_id", "left").withColumn("part", part)
-    return parted.groupBy("order_id", "part").agg(
-        F.sort_array(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items")
-    )
+        nested = items.repartition("order_id").groupBy("order_id").agg(listed)
+        return nested.select("order_id", F.lit(0).alias("part"), "items")
+    parts = long_orders.select("order_id", F.ceil(F.col("rows") / items_per_row).alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0)).cast("int")
+    parted = items.join(parts, "order_id", "left").withColumn("part", part)
+    return parted.repartition("order_id", "part").groupBy("order_id", "part").agg(listed)
 
 
 def orders_with_items(

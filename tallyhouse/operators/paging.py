@@ -9,8 +9,8 @@ from tallyhouse.session import shared_folder
 
 # Beyond this many leading rows a page is located on the executors instead of by a top-k.
 TOP_K_ROWS = 100_000
-# Spark cuts ranked groups before the shuffle up to this rank (its default limit).
-PRE_SHUFFLE_RANK = 1_000
+# Up to this rank one task takes what every other task leaves of a key; beyond, salted shares do.
+ONE_TASK_RANK = 1_000
 SALTS = 64
 
 
@@ -65,12 +65,12 @@ def page_with_total(df: DataFrame, order: list[Column], page: int = 0, size: int
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str) -> DataFrame:
     """The first ``n`` rows of every key with their rank, safe for a key of any size.
 
-    Up to ``PRE_SHUFFLE_RANK`` Spark itself keeps only n rows per key and task ahead of the shuffle.
-    For larger n the key is first ranked in salted shares: its first n rows are among the first n of
-    the shares.
+    Spark keeps only n rows per key and task ahead of the shuffle (see ``configure`` for its limit).
+    Where n is large the key is first ranked in salted shares, each again cut to n rows: its first n
+    rows are among the first n of the shares.
     """
     rows = df
-    if n > PRE_SHUFFLE_RANK:
+    if n > ONE_TASK_RANK:
         names = df.columns
         shares = df.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)))
         share = Window.partitionBy(*keys, "_salt").orderBy(*order)

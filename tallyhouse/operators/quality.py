@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,9 +122,16 @@ def reconcile_totals(orders: DataFrame, items: DataFrame, touched: DataFrame | N
     )
 
 
-def apply_reconciled(orders: DataFrame, reconciled: DataFrame) -> DataFrame:
-    """Orders with the replaced totals."""
+def apply_reconciled(orders: DataFrame, reconciled: DataFrame, now: datetime) -> DataFrame:
+    """Orders with the replaced totals; an order that changes is stamped with ``now``."""
     updates = reconciled.where(F.col("action") == "UPDATE").select("id", F.col("new_total").alias("_new"))
-    kept = orders.schema["total_amount"].dataType
-    total = F.coalesce("_new", "total_amount").cast(kept)
-    return orders.join(updates, "id", "left").withColumn("total_amount", total).select(*orders.columns)
+    changed = F.col("_new").isNotNull()
+    total = F.coalesce("_new", "total_amount").cast(orders.schema["total_amount"].dataType)
+    stamp = F.lit(now).cast(orders.schema["updated_at"].dataType)
+    return (
+        orders.join(updates, "id", "left")
+        .withColumns(
+            {"total_amount": total, "updated_at": F.when(changed, stamp).otherwise(F.col("updated_at"))}
+        )
+        .select(*orders.columns)
+    )

@@ -24,17 +24,12 @@ def _present(orders: DataFrame) -> DataFrame:
     return orders.select(F.col("id").alias("order_id"), F.col("status").alias("current_status"))
 
 
-def _allowed(target: Column, enforce_final: bool) -> Column:
-    current = F.col("current_status")
-    allowed = st.is_move(current, target)
-    return allowed & ~st.is_final(current) if enforce_final else allowed
-
-
 def order_update_outcomes(orders: DataFrame, updates: DataFrame) -> DataFrame:
     """(order_id, update_id, outcome) for a batch of updates, applied in the order of ``update_id``.
 
     Only a pending order can be updated and only with an allowed move, which takes it out of pending:
     of several updates of one order the first allowed one wins and later ones find it not modifiable.
+    An ``update_id`` occurs once per order.
     """
     faced = updates.select("order_id", "update_id", F.col("status").alias("target")).join(
         _present(orders), "order_id", "left"
@@ -95,7 +90,7 @@ def bulk_status_outcomes(orders: DataFrame, wanted: DataFrame, enforce_final: bo
     statuses are a history: see ``status_history``.
     """
     asked = wanted.groupBy("order_id", "new_status").agg(F.count("*").alias("requested"))
-    allowed = _allowed(F.col("new_status"), enforce_final)
+    allowed = st.is_move(F.col("current_status"), F.col("new_status"), enforce_final)
     outcome = (
         F.when(F.col("current_status").isNull(), NOT_FOUND).when(allowed, DONE).otherwise(INVALID_MOVE)
     )

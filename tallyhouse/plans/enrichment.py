@@ -293,13 +293,17 @@ QUERIES: dict[str, Registered] = {
         ),
     ),
     "apply_reconciled": Registered(
-        lambda s: quality.apply_reconciled(s.orders, quality.reconcile_totals(s.orders, s.items)).select(
-            "id", "total_amount"
+        lambda s: quality.apply_reconciled(s.orders, quality.reconcile_totals(s.orders, s.items), AS_OF).select(
+            "id", "total_amount", "updated_at"
         ),
         with_sql(
-            """SELECT o.id, cast(CASE WHEN o.status IN ('DELIVERED', 'CANCELLED', 'RETURNED', 'REFUNDED')
-                                 THEN o.total_amount ELSE coalesce(t, 0) END AS double) AS total_amount
-               FROM o LEFT JOIN (SELECT order_id, sum(total_price) AS t FROM i GROUP BY order_id) ON order_id = o.id""",
+            f""", sums AS (SELECT order_id, sum(total_price) AS t FROM i GROUP BY order_id),
+               c AS (SELECT o.*, coalesce(t, 0) AS new,
+                            o.status NOT IN ('DELIVERED', 'CANCELLED', 'RETURNED', 'REFUNDED')
+                              AND o.total_amount <> coalesce(t, 0) AS changed
+                     FROM o LEFT JOIN sums ON order_id = o.id)
+               SELECT id, cast(CASE WHEN changed THEN new ELSE total_amount END AS double) AS total_amount,
+                      CASE WHEN changed THEN {AS_OF_SQL} ELSE updated_at END AS updated_at FROM c""",
             "o", "i",
         ),
     ),

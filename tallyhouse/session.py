@@ -20,6 +20,8 @@ def configure(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # ranked groups are cut to their first rows ahead of the shuffle up to this rank
+        "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     }.items():
         spark.conf.set(key, value)
     return spark

@@ -20,8 +20,9 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 class _StatusMachine(StatefulProcessor):
     """Keeps one state per order."""
 
-    def __init__(self, initial: str) -> None:
+    def __init__(self, initial: str, enforce_final: bool) -> None:
         self._initial = initial
+        self._moves = st.moves(enforce_final)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("state", "status string")
@@ -31,7 +32,7 @@ class _StatusMachine(StatefulProcessor):
     ) -> Iterator[pd.DataFrame]:
         columns = ["order_id", "event_id", "ts", "from_status", "to_status", "accepted"]
         state = self._state.get()[0] if self._state.exists() else self._initial
-        if state not in st.MOVES:  # nothing leads out: no order among the events to find out
+        if state not in self._moves:  # nothing leads out: no order among the events to find out
             for batch in rows:
                 yield batch.assign(from_status=state, accepted=False)[columns]
             return
@@ -39,13 +40,13 @@ class _StatusMachine(StatefulProcessor):
         met, accepted = [], []
         for target in events["to_status"]:
             met.append(state)
-            accepted.append(target in st.MOVES.get(state, ()))
+            accepted.append(target in self._moves.get(state, ()))
             state = target if accepted[-1] else state
         self._state.update((state,))
         yield events.assign(from_status=met, accepted=accepted)[columns]
 
 
-def stream_status_machine(events: DataFrame, initial: str = "PENDING") -> DataFrame:
+def stream_status_machine(events: DataFrame, initial: str = "PENDING", enforce_final: bool = False) -> DataFrame:
     """The status replay as a stream: each event is emitted with the state it met and the verdict.
 
     Events of one order must arrive in time order from trigger to trigger; within a trigger they are
@@ -60,7 +61,8 @@ def stream_status_machine(events: DataFrame, initial: str = "PENDING") -> DataFr
         events.select("order_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "to_status")
         .groupBy("order_id")
         .transformWithStateInPandas(
-            statefulProcessor=_StatusMachine(initial), outputStructType=schema, outputMode="Append", timeMode="None"
+            statefulProcessor=_StatusMachine(initial, enforce_final), outputStructType=schema,
+            outputMode="Append", timeMode="None",
         )
     )
 

@@ -172,8 +172,10 @@ def test_reconciliation(spark, make_orders, make_items):
         ("a", Decimal("3.00"), "KEEP"), ("b", Decimal("4.00"), "UPDATE"), ("c", Decimal("4.00"), "REFUSE"),
         ("d", Decimal("0.00"), "UPDATE"),
     ]
-    assert dict(rows(quality.apply_reconciled(orders, checked), "id", "total_amount")) == {
-        "a": Decimal("3.00"), "b": Decimal("4.00"), "c": Decimal("5.00"), "d": Decimal("0.00")
-    }
+    after = quality.apply_reconciled(orders, checked, at("2024-02-01"))
+    assert rows(after, "id", "total_amount", "updated_at") == [
+        ("a", Decimal("3.00"), at("2024-01-01")), ("b", Decimal("4.00"), at("2024-02-01")),
+        ("c", Decimal("5.00"), at("2024-01-01")), ("d", Decimal("0.00"), at("2024-02-01")),
+    ]
     touched = spark.createDataFrame([("b",)], "order_id string")
     assert rows(quality.reconcile_totals(orders, items, touched), "id") == [("b",)]

@@ -198,6 +198,14 @@ def test_rejected_events_do_not_become_predecessors(spark, limit):
     ]
 
 
+@pytest.mark.parametrize("limit", [1, 1_000])
+def test_delivered_orders_return_unless_final_states_are_enforced(spark, limit):
+    events = make_events(spark, o=["CONFIRMED", "PROCESSING", "SHIPPED", "DELIVERED", "RETURNED"])
+    assert history.status_history(events, events_per_row=limit).where("accepted").count() == 5
+    strict = history.status_history(events, enforce_final=True, events_per_row=limit)
+    assert rows(history.final_states(strict)) == [("o", "DELIVERED", 4, 1)]
+
+
 @pytest.mark.parametrize("limit", [1, 40, 1_000])
 def test_random_histories_against_a_plain_loop(spark, limit):
     random = Random(11)
