@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.session import shared_folder
+from tallyhouse.session import stored
 
 # Beyond this many leading rows a page is located on the executors instead of by a top-k.
 TOP_K_ROWS = 100_000
@@ -30,16 +30,14 @@ def _deep_page(df: DataFrame, order: list[Column], first: int, size: int) -> Dat
     The range-sorted listing is written out with each row's place in its partition; the partition
     sizes (one row per partition) then give every row its place in the whole.
     """
-    folder = shared_folder(df.sparkSession, "listing")
-    (
+    listing = stored(
         df.orderBy(*order)
         .withColumn("_mark", F.monotonically_increasing_id())
         .withColumn("_slice", F.shiftright("_mark", 33))
         .withColumn("_place", F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_mark")
-        .write.parquet(folder)
+        .drop("_mark"),
+        "listing",
     )
-    listing = df.sparkSession.read.parquet(folder)
     sizes = listing.groupBy("_slice").agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))

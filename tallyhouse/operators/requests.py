@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import address, money
 from tallyhouse.operators.paging import first_per_key
+from tallyhouse.operators.skew import hot_keys
 from tallyhouse.schema import MONEY
+from tallyhouse.session import stored
 
 # Rejection codes and texts, number prefix and highest counter.
 EMPTY_ORDER = "EMPTY_ORDER"
@@ -149,9 +151,10 @@ def create_orders(
     """Accepted requests as PENDING orders with their items, and the rejected ones with the reason.
 
     The request id becomes the order id and ``requested_at`` the creation time, so a repeated run
-    gives the same orders. ``existing`` (order_number) holds numbers already in use.
+    gives the same orders. ``existing`` (order_number) holds numbers already in use. The assessment is
+    stored before the three results are made of it.
     """
-    assessed = assess_requests(headers, lines, products, cumulative)
+    assessed = stored(assess_requests(headers, lines, products, cumulative), "assessed")
     accepted = assessed.where(F.col("accepted")).select(
         F.col("request_id").alias("id"), "user_id", F.col("total_amount").cast(MONEY).alias("total_amount"),
         address.render(F.col("shipping_address")).alias("shipping_address"),
@@ -185,28 +188,35 @@ def assign_order_numbers(new: DataFrame, existing: DataFrame) -> DataFrame:
     """``order_number`` for every new order: prefix, epoch milliseconds, counter of four digits.
 
     Orders created in one millisecond take the counters 1 to 9999 that no existing number of that
-    millisecond uses, in the order of their ids; beyond that the number is null. A millisecond that
-    a whole batch shares is ranked in salted shares first, so that no task sorts all of it.
+    millisecond uses, in the order of their ids; beyond that the number is null.
     """
     names = new.columns
     stamped = new.withColumn("_ms", F.unix_millis(F.col("created_at").cast("timestamp")))
-    ranked = first_per_key(stamped, ["_ms"], [F.asc("id")], MAX_COUNTER, "_rank").select("id", "_ms", "_rank")
+    if hot_keys(stamped, "_ms", MAX_COUNTER) is None:
+        rank = F.row_number().over(Window.partitionBy("_ms").orderBy("id"))
+        return _numbered(stamped.withColumn("_rank", rank), existing).select(*names, "order_number")
+    # a millisecond that a whole batch shares: only its first orders can get a number
+    keys = stamped.select("id", "_ms")
+    ranked = first_per_key(keys, ["_ms"], [F.asc("id")], MAX_COUNTER, "_rank")
+    numbers = _numbered(ranked, existing).select("id", "order_number")
+    return new.join(numbers, "id", "left").select(*names, "order_number")
+
 
-    used_ms = F.regexp_extract("order_number", rf"^{NUMBER_PREFIX}-(\d+)-(\d{{4}})$", 1)
-    used_counter = F.regexp_extract("order_number", rf"^{NUMBER_PREFIX}-(\d+)-(\d{{4}})$", 2)
+def _numbered(ranked: DataFrame, existing: DataFrame) -> DataFrame:
+    """The rank of an order within its millisecond, moved past each used counter at or below it."""
+    pattern = rf"^{NUMBER_PREFIX}-(\d+)-(\d{{4}})$"
     used = (
-        existing.select(used_ms.try_cast("bigint").alias("_ms"), used_counter.try_cast("int").alias("_counter"))
-        .where(F.col("_ms").isNotNull())
+        existing.select(
+            F.regexp_extract("order_number", pattern, 1).try_cast("bigint").alias("_ms"),
+            F.regexp_extract("order_number", pattern, 2).try_cast("int").alias("_counter"),
+        )
+        .where((F.col("_ms").isNotNull()) & (F.col("_counter") > 0))
         .groupBy("_ms")
-        .agg(F.collect_set("_counter").alias("_used"))  # four digits: at most 10,000 values
+        .agg(F.sort_array(F.collect_set("_counter")).alias("_used"))  # four digits: under 10,000 values
     )
-    wanted = stamped.groupBy("_ms").agg(F.count("*").alias("_wanted"))
-    highest = F.least(F.lit(MAX_COUNTER), F.col("_wanted") + F.size("_used")).cast("int")
-    free = wanted.join(used, "_ms").select(
-        "_ms", F.array_except(F.sequence(F.lit(1), highest), F.col("_used")).alias("_free")
+    moved = F.aggregate("_used", F.col("_rank"), lambda counter, taken: counter + (taken <= counter).cast("int"))
+    counter = F.coalesce(moved, F.col("_rank"))
+    number = F.concat_ws(
+        "-", F.lit(NUMBER_PREFIX), F.col("_ms").cast("string"), F.lpad(counter.cast("string"), 4, "0")
     )
-    counter = F.when(F.col("_free").isNull(), F.col("_rank")).otherwise(F.get("_free", F.col("_rank") - 1))
-    number = F.concat_ws("-", F.lit(NUMBER_PREFIX), F.col("_ms").cast("string"),
-                         F.lpad(counter.cast("string"), 4, "0"))
-    numbers = ranked.join(free, "_ms", "left").select("id", F.when(counter.isNotNull(), number).alias("order_number"))
-    return new.join(numbers, "id", "left").select(*names, "order_number")
+    return ranked.join(used, "_ms", "left").withColumn("order_number", F.when(counter <= MAX_COUNTER, number))
