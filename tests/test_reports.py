@@ -7,7 +7,7 @@ import pytest
 from conftest import at, rows
 
 from tallyhouse import schema
-from tallyhouse.operators import stats, views
+from tallyhouse.operators import skew, stats, views
 
 
 def test_seed_rows(seed):
@@ -79,8 +79,11 @@ def test_order_without_items_in_summary(make_orders, make_items):
 
 
 @pytest.mark.parametrize("min_frequency", [1, 2, 4])
-@pytest.mark.parametrize("pair_slice", [3, 1_000])
-def test_pairs_against_brute_force(make_orders, make_items, min_frequency, pair_slice):
+@pytest.mark.parametrize("pair_slice, broadcast", [(3, True), (3, False), (1_000, True)])
+def test_pairs_against_brute_force(spark, monkeypatch, make_orders, make_items, min_frequency, pair_slice, broadcast):
+    if not broadcast:  # all joins by sorting, as on large tables
+        monkeypatch.setattr(skew, "KEYS_ON_DRIVER", 0)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     random = Random(5)
     states = ["SHIPPED", "DELIVERED", "PENDING"]
     orders = [(f"o{n}", "u", states[n % 3], "1.00", "2024-01-01") for n in range(30)]
@@ -100,7 +103,10 @@ def test_pairs_against_brute_force(make_orders, make_items, min_frequency, pair_
                 expected[tuple(sorted((x, y)))] += 1
     got = stats.bought_together(make_items(*items), make_orders(*orders), min_frequency, pair_slice=pair_slice)
     want = sorted(((*x, *y, n) for (x, y), n in expected.items() if n >= min_frequency), key=repr)
-    assert rows(got) == want
+    try:
+        assert rows(got) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_replenishment_with_and_without_stock(make_orders, make_items, make_products):
