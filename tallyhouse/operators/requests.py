@@ -57,21 +57,31 @@ def _line_reject(known: Column) -> Column:
     All products are looked up before any stock is checked, so an unknown product on any line comes
     before a stock problem on an earlier one: that is the ``phase``.
     """
-    stock = F.coalesce("available_quantity", F.lit(0))
     in_stock = F.coalesce("in_stock", F.lit(False))
     enough = F.coalesce(F.col("available_quantity") >= F.col("quantity"), F.lit(False))
+    code = (
+        F.when(known.isNull(), PRODUCT_NOT_FOUND).when(~in_stock, OUT_OF_STOCK).when(~enough, INSUFFICIENT)
+    )
+    return F.when(
+        code.isNotNull(),
+        F.struct(
+            F.when(known.isNull(), 1).otherwise(2).alias("phase"), "line_no", code.alias("code"),
+            F.col("product_id").cast("string").alias("product_id"), "name", "quantity",
+            F.coalesce("available_quantity", F.lit(0)).alias("stock"),
+        ),
+    )
 
-    def reason(phase: int, code: str, text: Column) -> Column:
-        return F.struct(
-            F.lit(phase).alias("phase"), F.col("line_no").alias("line_no"),
-            F.lit(code).alias("code"), text.alias("message"),
-        )
 
-    insufficient = F.format_string(INSUFFICIENT_TEXT, F.col("name"), F.col("quantity"), stock)
+def _message(code: Column, reject: Column) -> Column:
+    """The text of a rejection, worded once per request."""
     return (
-        F.when(known.isNull(), reason(1, PRODUCT_NOT_FOUND, F.format_string(NOT_FOUND_TEXT, F.col("product_id"))))
-        .when(~in_stock, reason(2, OUT_OF_STOCK, F.format_string(OUT_OF_STOCK_TEXT, F.col("name"))))
-        .when(~enough, reason(2, INSUFFICIENT, insufficient))
+        F.when(code == EMPTY_ORDER, EMPTY_ORDER_TEXT)
+        .when(code == PRODUCT_NOT_FOUND, F.format_string(NOT_FOUND_TEXT, reject["product_id"]))
+        .when(code == OUT_OF_STOCK, F.format_string(OUT_OF_STOCK_TEXT, reject["name"]))
+        .when(
+            code == INSUFFICIENT,
+            F.format_string(INSUFFICIENT_TEXT, reject["name"], reject["quantity"], reject["stock"]),
+        )
     )
 
 
@@ -109,7 +119,7 @@ def assess_requests(headers: DataFrame, lines: DataFrame, products: DataFrame, c
         code.isNull().alias("accepted"),
         code.alias("reject_code"),
         outer.alias("outer_code"),
-        F.when(code == EMPTY_ORDER, EMPTY_ORDER_TEXT).otherwise(F.col("_reject.message")).alias("message"),
+        _message(code, F.col("_reject")).alias("message"),
     )
 
 

@@ -38,7 +38,7 @@ worded AS (
   FROM judged),
 first_reason AS (
   SELECT request_id, code, message FROM worded WHERE code IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY phase, line_no, code, message) = 1),
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY phase, line_no, code, cast(product_id AS varchar), quantity) = 1),
 verdict AS (
   SELECT o.id AS request_id, o.user_id, o.created_at,
          CASE WHEN o.id NOT IN (SELECT request_id FROM rl) THEN 'EMPTY_ORDER' ELSE code END AS code,
