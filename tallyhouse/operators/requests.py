@@ -31,7 +31,8 @@ INSUFFICIENT_TEXT = "Insufficient inventory for product %s. Requested: %d, Avail
 NUMBER_PREFIX = "ORD"
 MAX_COUNTER = 9999
 
-# Ours: an order no stored total can hold, and a millisecond without a free number.
+# Ours: what the storage constraints refuse, and a millisecond without a free number.
+INVALID_QUANTITY = "QUANTITY_NOT_POSITIVE"
 NOT_PRICEABLE = "TOTAL_NOT_PRICEABLE"
 NUMBERS_EXHAUSTED = "ORDER_NUMBERS_EXHAUSTED"
 
@@ -91,24 +92,27 @@ def assess_requests(headers: DataFrame, lines: DataFrame, products: DataFrame, c
     Each line is held against the same stock figure; ``cumulative`` adds up the lines of one product
     within a request first.
     """
-    wanted = lines.select("request_id", "line_no", "product_id", "quantity")
+    wanted = lines.select(
+        "request_id", "line_no", "product_id", "quantity",
+        F.lit(1).cast("bigint").alias("_lines"), (F.col("quantity") < 1).cast("int").alias("_invalid"),
+    )
     if cumulative:
         wanted = wanted.groupBy("request_id", "product_id").agg(
-            F.min("line_no").alias("line_no"), F.sum("quantity").alias("quantity"), F.count("*").alias("_lines")
+            F.min("line_no").alias("line_no"), F.sum("quantity").alias("quantity"),
+            F.sum("_lines").alias("_lines"), F.max("_invalid").alias("_invalid"),
         )
-    else:
-        wanted = wanted.withColumn("_lines", F.lit(1).cast("bigint"))
-    total = F.sum(money.line_total(F.col("price"), F.col("quantity").cast("int")))
     per_request = _with_products(wanted, products).groupBy("request_id").agg(
         F.sum("_lines").alias("line_count"),
+        F.max("_invalid").alias("_invalid"),
         F.count_if(F.col("known") & F.col("price").isNull()).alias("_unpriced"),
-        total.alias("total_amount"),
+        F.sum(F.col("price") * F.col("quantity")).alias("total_amount"),  # wide: no quantity overflows it
         F.min(_line_reject(F.col("known"))).alias("_reject"),
     )
     storable = F.col("total_amount").try_cast(MONEY).isNotNull() & (F.col("_unpriced") == 0)
     code = (
         F.when(F.col("line_count").isNull(), EMPTY_ORDER)
         .when(F.col("_reject").isNotNull(), F.col("_reject.code"))
+        .when(F.col("_invalid") == 1, INVALID_QUANTITY)
         .when(~storable, NOT_PRICEABLE)
     )
     outer = F.when(code == PRODUCT_NOT_FOUND, VALIDATION_FAILED).when(code.isNotNull(), CREATION_FAILED)

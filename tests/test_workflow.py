@@ -42,7 +42,7 @@ def products(make_products):
 def test_acceptance_and_first_reason(spark, products):
     headers, lines = make_requests(
         spark, good=[("p", 2)], empty=[], unknown_last=[("q", 1), ("p", 99), ("zzz", 1)],
-        stock=[("p", 11), ("q", 1)], none=[("r", 1)], huge=[("s", 2)], unpriced=[("t", 1)],
+        stock=[("p", 11), ("q", 1)], none=[("r", 1)], huge=[("s", 2)], unpriced=[("t", 1)], zero=[("p", 2), ("p", 0)],
     )
     got = {r["request_id"]: r for r in requests.assess_requests(headers, lines, products).collect()}
     assert got["good"]["accepted"] and got["good"]["total_amount"] == Decimal("199.98")
@@ -54,6 +54,7 @@ def test_acceptance_and_first_reason(spark, products):
     assert got["unknown_last"]["message"] == "Product not found: zzz"
     assert got["stock"]["message"] == "Insufficient inventory for product Pen. Requested: 11, Available: 10"
     assert got["none"]["reject_code"] == "PRODUCT_OUT_OF_STOCK"
+    assert got["zero"]["reject_code"] == "QUANTITY_NOT_POSITIVE"
     assert got["huge"]["reject_code"] == got["unpriced"]["reject_code"] == "TOTAL_NOT_PRICEABLE"
 
 
@@ -66,6 +67,13 @@ def test_lines_of_one_product_add_up_only_when_asked(spark, products):
     ]
 
 
+def test_quantities_beyond_any_stock_are_rejected_not_failed(spark, products):
+    headers, lines = make_requests(spark, much=[("p", 2_000_000_000), ("p", 2_000_000_000), ("s", 1)])
+    for cumulative in (False, True):
+        checked = requests.check_stock(headers, lines, products, cumulative)
+        assert rows(checked, "reject_code") == [("INSUFFICIENT_INVENTORY",)]
+
+
 def test_array_form_of_requests(spark, products):
     data = [("a", "u", [("p", 2), ("q", 1)], PLACE, PLACE), ("b", "u", [], PLACE, PLACE)]
     lines = requests.explode_requests(spark.createDataFrame(data, schema.ORDER_REQUESTS))
