@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import address, money
 from tallyhouse.functions import status as st
+from tallyhouse.schema import MONEY
 
 
 def _violations(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -105,7 +106,7 @@ def reconcile_totals(orders: DataFrame, items: DataFrame, touched: DataFrame | N
     """Stored total against the sum of the items, per order.
 
     ``action`` is KEEP where they agree, UPDATE where the stored total is to be replaced, and REFUSE
-    where it differs but the order is in a final state. ``touched`` (order_id) limits the check to
+    where it differs but the order is in a final state or no stored total can hold the sum. ``touched`` (order_id) limits the check to
     orders whose items changed.
     """
     if touched is not None:
@@ -114,9 +115,10 @@ def reconcile_totals(orders: DataFrame, items: DataFrame, touched: DataFrame | N
         items = items.join(touched.select("order_id"), "order_id", "left_semi")
     sums = items.groupBy(F.col("order_id").alias("id")).agg(F.sum("total_price").alias("_sum"))
     new_total = F.coalesce("_sum", F.lit(0))
+    storable = new_total.try_cast(MONEY).isNotNull()
     action = (
         F.when(F.col("total_amount") == new_total, "KEEP")
-        .when(st.is_final(F.col("status")), "REFUSE")
+        .when(st.is_final(F.col("status")) | ~storable, "REFUSE")
         .otherwise("UPDATE")
     )
     return orders.join(sums, "id", "left").select(
@@ -129,7 +131,7 @@ def apply_reconciled(orders: DataFrame, reconciled: DataFrame, now: datetime) ->
     """Orders with the replaced totals; an order that changes is stamped with ``now``."""
     updates = reconciled.where(F.col("action") == "UPDATE").select("id", F.col("new_total").alias("_new"))
     changed = F.col("_new").isNotNull()
-    total = F.coalesce("_new", "total_amount").cast(orders.schema["total_amount"].dataType)
+    total = F.coalesce("_new", "total_amount").try_cast(orders.schema["total_amount"].dataType)
     stamp = F.lit(now).cast(orders.schema["updated_at"].dataType)
     return (
         orders.join(updates, "id", "left")

@@ -177,5 +177,9 @@ def test_reconciliation(spark, make_orders, make_items):
         ("a", Decimal("3.00"), at("2024-01-01")), ("b", Decimal("4.00"), at("2024-02-01")),
         ("c", Decimal("5.00"), at("2024-01-01")), ("d", Decimal("0.00"), at("2024-02-01")),
     ]
+    huge = make_items(*((str(n), "b", "p", "P", 2, "49999999.00") for n in range(3)))
+    refused = quality.reconcile_totals(orders.where("id = 'b'"), huge)
+    assert rows(refused, "new_total", "action") == [(Decimal("299999994.00"), "REFUSE")]
+    assert rows(quality.apply_reconciled(orders, refused, at("2024-02-01")), "total_amount").count((Decimal("5.00"),)) == 3
     touched = spark.createDataFrame([("b",)], "order_id string")
     assert rows(quality.reconcile_totals(orders, items, touched), "id") == [("b",)]
