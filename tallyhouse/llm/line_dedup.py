@@ -51,7 +51,7 @@ def later_lines(rows: DataFrame, scratch: Scratch, min_chars: int, salts: int) -
     within = streamed.filter(F.col("doc_id") > F.col("run_first")).select("doc_id", "pos")
     across = (
         streamed.filter(F.col("doc_id") == F.col("run_first"))
-        .join(repeated, "hash").filter(F.col("doc_id") > F.col("first")).select("doc_id", "pos")
+        .join(repeated.hint("merge"), "hash").filter(F.col("doc_id") > F.col("first")).select("doc_id", "pos")
     )
     return within.unionByName(across)
 
@@ -78,7 +78,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text): each document without the lines its bitmap drops."""
-    joined = one_per_id(docs).join(bitmaps, "doc_id", "left")
+    joined = one_per_id(docs).join(bitmaps.hint("merge"), "doc_id", "left")
     n_lines = F.char_length("text") - F.char_length(F.translate("text", "\n", "")) + 1
     n_dropped = F.aggregate("words", F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w["dropped"]))
     gone = F.flatten(
