@@ -41,13 +41,18 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sa
         .drop("text"),
         "groups",
     )
-    per_digest = groups.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("contents"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")
+    # stored, so that the join below has plain shuffles on both sides, whose hot partitions Spark can split
+    per_digest = scratch.store(
+        groups.groupBy("digest").agg(
+            F.count(F.lit(1)).alias("contents"), F.max("keep_id").alias("keep_id"),
+            F.max("group_size").alias("group_size"),
+        ),
+        "per-digest",
     )
     alone = per_digest.filter("contents = 1").drop("contents")
     sha = F.sha2("text", 256).alias("text_sha256")
     found = ["doc_id", "keep_id", "group_size", "text_sha256"]
-    members = rows.select("doc_id", "digest", sha).join(alone, "digest").select(found)
+    members = rows.select("doc_id", "digest", sha).join(alone.hint("merge"), "digest").select(found)
     mixed = per_digest.filter("contents > 1").select("digest")
     if not mixed.isEmpty():
         kept_texts = groups.join(mixed, "digest", "left_semi").join(
