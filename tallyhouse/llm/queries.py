@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import exact_dedup, lang_id, line_dedup
+from tallyhouse.llm import bpe, exact_dedup, lang_id, line_dedup
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op4_language_id": lang_id.op4_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
