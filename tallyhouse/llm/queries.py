@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import bpe, exact_dedup, lang_id, line_dedup
+from tallyhouse.llm import bpe, exact_dedup, lang_id, line_dedup, repeats
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_suffix_dedup": repeats.op2_suffix_dedup,
     "op4_language_id": lang_id.op4_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
