@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import bpe, exact_dedup, lang_id, line_dedup, repeats
+from tallyhouse.llm import bpe, decontaminate, exact_dedup, lang_id, line_dedup, ngram_join, repeats, token_counts
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_suffix_dedup": repeats.op2_suffix_dedup,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_language_id": lang_id.op4_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
+    "op3_token_counts": token_counts.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
