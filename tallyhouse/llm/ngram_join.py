@@ -30,7 +30,7 @@ from tallyhouse.llm.shared import Scratch, documents, one_per_id, prepare
 
 WORDS = 5
 PERCENT = 75
-BITS = 1024
+BITS = 4096
 FANOUT = 16
 LEAVES = 512  # leaves of one tree; a larger block is cut into trees that are traversed in pairs
 FREQUENT = 100_000  # shingles at most whose place in the order is moved to the end
@@ -161,38 +161,34 @@ def _bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def sets_table(rows: DataFrame) -> DataFrame:
-    """(doc_id, shingles, bitmap) of the given documents."""
+def bitmaps(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, bitmap) of the given documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = _batches(batch)
-            found = shingle_sets(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())),
-                 pa.array([_bitmap(s) for s in found], pa.binary())], names=["doc_id", "shingles", "bitmap"],
-            )
+            found = [_bitmap(shingles) for shingles in shingle_sets(_batches(batch)[1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=["doc_id", "text", "bitmap"])
 
-    return rows.mapInArrow(run, "doc_id bigint, shingles array<bigint>, bitmap binary")
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, bitmap binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose exact similarity reaches the threshold."""
-    side = sets.select("doc_id", "shingles")
+def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose exact similarity reaches the threshold. Texts travel, not their shingles:
+    they are half the size."""
     both = (
-        pairs.join(side.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")).hint("merge"), "a")
-        .join(side.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")).hint("merge"), "b")
+        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("of_a")).hint("merge"), "a")
+        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("of_b")).hint("merge"), "b")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sides = [shingle_sets([text.encode() for text in batch.column(n).to_pylist()]) for n in (2, 3)]
             keep = []
-            for n in range(batch.num_rows):
-                x = batch.column(2)[n].values.to_numpy(zero_copy_only=False)
-                y = batch.column(3)[n].values.to_numpy(zero_copy_only=False)
+            for x, y in zip(*sides):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common * 100 >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(n).filter(chosen) for n in (0, 1)], names=["a", "b"])
 
     return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint")
 
@@ -342,10 +338,15 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, leaves: int = LEAVES,
         .select(F.col("token").alias("block"), "doc_id", "n", "centre", "members"), "placed",
     )
     involved = placed.select("doc_id").distinct()
-    sets = scratch.store(sets_table(rows.join(involved.hint("merge"), "doc_id", "left_semi")), "sets")
+    sets = scratch.store(bitmaps(rows.join(involved.hint("merge"), "doc_id", "left_semi")), "sets")
     scratch.drop("prefixes", "blocks")
 
-    stars = placed.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # each document is compared with one centre: that of most of its blocks
+    stars = (
+        placed.filter("doc_id <> centre").groupBy("doc_id", "centre").count()
+        .groupBy("doc_id").agg(F.max_by("centre", F.struct("count", -F.col("centre"))).alias("a"))
+        .select("a", F.col("doc_id").alias("b"))
+    )
     near = scratch.store(linked(stars, sets, percent), "near")
     found = scratch.store(components(near, scratch, "first"), "found")
     labelled = placed.join(found.hint("merge"), "doc_id", "left").select(
