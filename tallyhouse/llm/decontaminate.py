@@ -77,6 +77,10 @@ def sketches(items: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def up_to(hashes: Column, limit: int) -> Column:
+    return F.filter(hashes, lambda h: h <= F.lit(limit))
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """A side whose row count is known: broadcast up to the bound, joined by sorting beyond it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
@@ -103,9 +107,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
         n_rows = sum(row[3] for row in partitions if row[0] == length)
         offered = rows.select(
             "doc_id",
-            F.explode(F.array_distinct(F.filter(
-                shingles_of(F.col("text"), length, F.xxhash64), lambda h, limit=highest: h <= limit
-            ))).alias("hash"),
+            F.explode(F.array_distinct(up_to(shingles_of(F.col("text"), length, F.xxhash64), highest))).alias("hash"),
         )
         sketch = wanted.filter(F.col("length") == length).select("hash", "item_id")
         hits = offered.join(sized(sketch, n_rows), "hash").select("doc_id", "item_id")
