@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import bpe, decontaminate, exact_dedup, lang_id, line_dedup, ngram_join, repeats, token_counts
+import corpus_pipeline
+from tallyhouse.llm import bpe, decontaminate, exact_dedup, lang_id, licences, line_dedup, ngram_join, pii, repeats, token_counts
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_bpe": bpe.op1_bpe,
     "op2_suffix_dedup": repeats.op2_suffix_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
@@ -12,6 +14,8 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op8_pii": pii.op8_pii,
+    "op9_licences": licences.op9_licences,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
