@@ -39,6 +39,7 @@ LOOSE = {
     "card": re.compile(r"(?<![0-9.])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9.])"),
     "phone": re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])"),
 }
+AT_MARK = re.compile(r"[\[(](?:at|AT)[\])]")
 PATTERN_EDGE = re.compile(r"[^\w]+")
 
 
@@ -77,7 +78,7 @@ def loose_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     """Candidates that touch no base span."""
     found = []
     for number, kind in enumerate(KINDS):
-        if kind == "email" and "at" not in text and "AT" not in text:
+        if kind == "email" and not AT_MARK.search(text) or kind == "ip" and text.count(":") < 7:
             continue
         for m in LOOSE[kind].finditer(text):
             if not any(start < m.end() and m.start() < end for start, _, end in base):
@@ -92,10 +93,6 @@ def context(text: str, start: int) -> str | None:
     return " ".join(words[-CONTEXT_WORDS:]) or None
 
 
-def _named(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
