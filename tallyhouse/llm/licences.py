@@ -7,7 +7,7 @@ which no foreign training paragraph would be taken for a licence is the bar. A p
 has to share enough of the words of one template of its family.
 
 The model is a small table of weights, so scoring is a lookup and a sum in DataFrame functions; no Python
-runs on the executors. Paragraphs without a word that only licences use cannot pass and are left out first.
+runs on the executors. Paragraphs that cannot share enough words with any template are left out first.
 """
 
 from __future__ import annotations
@@ -139,10 +139,26 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
 
 
 def telling_words() -> list[str]:
-    """Words of the templates other than common ones: every licence paragraph has one of them."""
-    return sorted({
-        w for texts in TEMPLATES.values() for text in texts for w in words_of(text) if w not in COMMON and len(w) > 2
-    })
+    """Words of which every paragraph that can be confirmed has one: of each template its longest words, one
+    more than a paragraph with MIN_SHARED of the template's words may lack."""
+    chosen = set()
+    for text in (text for texts in TEMPLATES.values() for text in texts):
+        own = sorted(set(words_of(text)), key=lambda w: (-len(w), w))
+        chosen.update(own[: len(own) - int(np.ceil(len(own) * MIN_SHARED - 1e-9)) + 1])
+    return sorted(chosen, key=lambda w: (len(w), w))
+
+
+def has_any(text: Column, words: list[str]) -> Column:
+    """Whether a text has one of the words, as part of a longer one too. The outer function binds the
+    lower-cased text once."""
+
+    def found(low: Column) -> Column:
+        hit = F.lit(False)
+        for word in words:
+            hit = hit | F.contains(low, F.lit(word))
+        return hit
+
+    return F.exists(F.array(F.lower(text)), found)
 
 
 def licence_paragraphs(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -155,12 +171,12 @@ def licence_paragraphs(docs: DataFrame, model: dict | None = None) -> DataFrame:
     prepare(docs.sparkSession)
     model = model or train()
     classes = model["classes"]
-    gate = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(w.replace(".", "[.]") for w in telling_words()) + ")(?![A-Za-z0-9])"
+    telling = telling_words()
     lines = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .filter(F.col("text").rlike(gate))
+        .filter(has_any(F.col("text"), telling))
         .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-        .filter(F.col("line").rlike(gate))
+        .filter(has_any(F.col("line"), telling))
         .select("doc_id", "paragraph", F.explode(F.array(column_words(F.col("line")))).alias("words"))
     )
     table = F.create_map(*(
