@@ -341,10 +341,15 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, leaves: int = LEAVES,
     sets = scratch.store(bitmaps(rows.join(involved.hint("merge"), "doc_id", "left_semi")), "sets")
     scratch.drop("prefixes", "blocks")
 
-    # each document is compared with one centre: that of most of its blocks
+    # each document is compared with one centre: of most of its blocks the member that is in most blocks
+    weight = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight"))
+    hubs = (
+        placed.join(weight.hint("merge"), "doc_id").groupBy("block")
+        .agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("hub"))
+    )
     stars = (
-        placed.filter("doc_id <> centre").groupBy("doc_id", "centre").count()
-        .groupBy("doc_id").agg(F.max_by("centre", F.struct("count", -F.col("centre"))).alias("a"))
+        placed.join(hubs.hint("merge"), "block").filter("doc_id <> hub").groupBy("doc_id", "hub").count()
+        .groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a"))
         .select("a", F.col("doc_id").alias("b"))
     )
     near = scratch.store(linked(stars, sets, percent), "near")
