@@ -43,10 +43,13 @@ def lookup_missing(orders: DataFrame, keys: DataFrame, by: str = "id") -> DataFr
 
 def order_exists(orders: DataFrame, numbers: DataFrame) -> DataFrame:
     """One row per distinct number with whether an order carries it."""
-    known = orders.select("order_number", F.lit(True).alias("known")).distinct()
+    asked = numbers.select("order_number").distinct()
+    known = (
+        orders.select("order_number").join(asked, "order_number", "left_semi").distinct()
+        .withColumn("known", F.lit(True))
+    )
     return (
-        numbers.select("order_number").distinct()
-        .join(known, "order_number", "left")
+        asked.join(known, "order_number", "left")
         .select("order_number", F.col("known").isNotNull().alias("exists"))
     )
 

@@ -12,12 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import address, money
-from tallyhouse.operators.paging import first_per_key
-from tallyhouse.operators.skew import hot_keys
 from tallyhouse.schema import MONEY
 from tallyhouse.session import stored
 
-# Rejection codes and texts, number prefix and highest counter.
+# Rejection codes and texts, and the number prefix.
 EMPTY_ORDER = "EMPTY_ORDER"
 PRODUCT_NOT_FOUND = "PRODUCT_NOT_FOUND"
 OUT_OF_STOCK = "PRODUCT_OUT_OF_STOCK"
@@ -29,12 +27,12 @@ NOT_FOUND_TEXT = "Product not found: %s"
 OUT_OF_STOCK_TEXT = "Product is out of stock: %s"
 INSUFFICIENT_TEXT = "Insufficient inventory for product %s. Requested: %d, Available: %d"
 NUMBER_PREFIX = "ORD"
-MAX_COUNTER = 9999
 
-# Ours: what the storage constraints refuse, and a millisecond without a free number.
+# Ours: what the storage constraints refuse, and a request without a time to number it by.
 INVALID_QUANTITY = "QUANTITY_NOT_POSITIVE"
 NOT_PRICEABLE = "TOTAL_NOT_PRICEABLE"
-NUMBERS_EXHAUSTED = "ORDER_NUMBERS_EXHAUSTED"
+NO_TIME = "REQUEST_TIME_MISSING"
+NO_TIME_TEXT = "The request has no time, so it cannot get an order number"
 
 
 def explode_requests(requests: DataFrame) -> DataFrame:
@@ -181,9 +179,9 @@ def create_orders(
         "shipping_address", "billing_address", "created_at", F.col("created_at").alias("updated_at"),
     )
     unnumbered = numbered.where(F.col("order_number").isNull()).select(
-        F.col("id").alias("request_id"), F.lit(NUMBERS_EXHAUSTED).alias("reject_code"),
+        F.col("id").alias("request_id"), F.lit(NO_TIME).alias("reject_code"),
         F.lit(CREATION_FAILED).alias("outer_code"),
-        F.lit("Unable to generate unique order number").alias("message"),
+        F.lit(NO_TIME_TEXT).alias("message"),
     )
     rejects = assessed.where(~F.col("accepted")).select("request_id", "reject_code", "outer_code", "message")
     ordered = orders.select(F.col("id").alias("request_id"))
@@ -199,38 +197,28 @@ def create_orders(
 
 
 def assign_order_numbers(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """``order_number`` for every new order: prefix, epoch milliseconds, counter of four digits.
+    """``order_number`` for every new order: prefix, epoch milliseconds, counter of at least four digits.
 
-    Orders created in one millisecond take the counters 1 to 9999 that no existing number of that
-    millisecond uses, in the order of their ids; beyond that the number is null.
+    Orders created in one millisecond take the counters after the highest one that an existing number of
+    that millisecond uses, in the order of their ids; the counter grows beyond four digits where it has
+    to. Without a time there is no number.
     """
-    names = new.columns
     stamped = new.withColumn("_ms", F.unix_millis(F.col("created_at").cast("timestamp")))
-    if hot_keys(stamped, "_ms", MAX_COUNTER) is None:
-        rank = F.row_number().over(Window.partitionBy("_ms").orderBy("id"))
-        return _numbered(stamped.withColumn("_rank", rank), existing).select(*names, "order_number")
-    # a millisecond that a whole batch shares: only its first orders can get a number
-    keys = stamped.select("id", "_ms")
-    ranked = first_per_key(keys, ["_ms"], [F.asc("id")], MAX_COUNTER, "_rank")
-    numbers = _numbered(ranked, existing).select("id", "order_number")
-    return new.join(numbers, "id", "left").select(*names, "order_number")
-
-
-def _numbered(ranked: DataFrame, existing: DataFrame) -> DataFrame:
-    """The rank of an order within its millisecond, moved past each used counter at or below it."""
-    pattern = rf"^{NUMBER_PREFIX}-(\d+)-(\d{{4}})$"
+    pattern = rf"^{NUMBER_PREFIX}-(\d+)-(\d{{4,}})$"
     used = (
         existing.select(
             F.regexp_extract("order_number", pattern, 1).try_cast("bigint").alias("_ms"),
-            F.regexp_extract("order_number", pattern, 2).try_cast("int").alias("_counter"),
+            F.regexp_extract("order_number", pattern, 2).try_cast("bigint").alias("_counter"),
         )
-        .where((F.col("_ms").isNotNull()) & (F.col("_counter") > 0))
-        .groupBy("_ms")
-        .agg(F.sort_array(F.collect_set("_counter")).alias("_used"))  # four digits: under 10,000 values
-    )
-    moved = F.aggregate("_used", F.col("_rank"), lambda counter, taken: counter + (taken <= counter).cast("int"))
-    counter = F.coalesce(moved, F.col("_rank"))
-    number = F.concat_ws(
-        "-", F.lit(NUMBER_PREFIX), F.col("_ms").cast("string"), F.lpad(counter.cast("string"), 4, "0")
-    )
-    return ranked.join(used, "_ms", "left").withColumn("order_number", F.when(counter <= MAX_COUNTER, number))
+        .where(F.col("_ms").isNotNull() & (F.col("_counter") > 0))
+        .join(stamped.select("_ms").distinct(), "_ms", "left_semi")
+        .groupBy("_ms").agg(F.max("_counter").alias("_highest"))
+    )
+    rank = F.row_number().over(Window.partitionBy("_ms").orderBy("id")).cast("bigint")
+    ranked = stamped.where(F.col("_ms").isNotNull()).withColumn("_rank", rank)
+    counter = (F.col("_rank") + F.coalesce("_highest", F.lit(0))).cast("string")
+    padded = F.when(F.char_length(counter) < 4, F.lpad(counter, 4, "0")).otherwise(counter)
+    number = F.concat(F.lit(f"{NUMBER_PREFIX}-"), F.col("_ms").cast("string"), F.lit("-"), padded)
+    numbered = ranked.join(used, "_ms", "left").select(*new.columns, number.alias("order_number"))
+    timeless = stamped.where(F.col("_ms").isNull()).select(*new.columns, F.lit(None).cast("string").alias("order_number"))
+    return numbered.unionByName(timeless)

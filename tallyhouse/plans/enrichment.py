@@ -39,7 +39,7 @@ def _updates(shop: Shop) -> DataFrame:
     """One update per event, for orders some of which do not exist; every third gives an address."""
     given = F.struct(*(F.lit(text).alias(name) for name, text in NEW_ADDRESS.items()))
     return shop.events.select(
-        (F.col("event_id") % 6000 * 3).alias("order_id"),
+        F.expr("event_id div 3 * 5").alias("order_id"),
         F.col("event_id").alias("update_id"),
         F.col("to_status").alias("status"),
         F.when(F.col("event_id") % 3 == 0, given).alias("shipping_address"),
@@ -51,7 +51,7 @@ NEW_ADDRESS = {
     "addressLine1": "1 New Street", "addressLine2": "Floor 2", "city": "Springfield",
     "state": "IL", "postalCode": "62701", "country": "USA",
 }
-UPDATES = """SELECT event_id % 6000 * 3 AS order_id, event_id AS update_id, to_status AS target,
+UPDATES = """SELECT event_id // 3 * 5 AS order_id, event_id AS update_id, to_status AS target,
                     event_id % 3 = 0 AS ship, event_id % 4 = 0 AS bill FROM ev"""
 
 QUERIES: dict[str, Registered] = {

@@ -48,9 +48,8 @@ verdict AS (
 accepted AS (SELECT * FROM verdict WHERE code IS NULL),
 stamped AS (
   SELECT request_id, user_id, created_at, 'ORD-' || cast(epoch_ms(created_at) AS varchar) || '-'
-         || lpad(cast(row_number() OVER (PARTITION BY created_at ORDER BY request_id) AS varchar), 4, '0')
-           AS order_number
-  FROM accepted)"""
+         || CASE WHEN r < 1000 THEN lpad(cast(r AS varchar), 4, '0') ELSE cast(r AS varchar) END AS order_number
+  FROM (SELECT *, row_number() OVER (PARTITION BY created_at ORDER BY request_id) AS r FROM accepted))"""
 
 
 def _judged(select: str) -> str:
@@ -224,12 +223,12 @@ QUERIES: dict[str, Registered] = {
         _numbered,
         with_sql(
             """, taken AS (SELECT DISTINCT created_at FROM o WHERE status = 'PENDING'),
-               ranked AS (SELECT id, created_at, row_number() OVER (PARTITION BY created_at ORDER BY id) AS r FROM o)
-               SELECT ranked.id, ranked.created_at,
-                      'ORD-' || cast(epoch_ms(ranked.created_at) AS varchar) || '-' || lpad(cast(
-                        CASE WHEN taken.created_at IS NOT NULL AND r >= 2 THEN r + 1 ELSE r END AS varchar), 4, '0')
-                        AS order_number
-               FROM ranked LEFT JOIN taken ON taken.created_at = ranked.created_at""",
+               ranked AS (
+                 SELECT id, created_at, row_number() OVER (PARTITION BY created_at ORDER BY id)
+                        + CASE WHEN created_at IN (SELECT created_at FROM taken) THEN 2 ELSE 0 END AS r FROM o)
+               SELECT id, created_at, 'ORD-' || cast(epoch_ms(created_at) AS varchar) || '-'
+                      || CASE WHEN r < 1000 THEN lpad(cast(r AS varchar), 4, '0') ELSE cast(r AS varchar) END AS order_number
+               FROM ranked""",
             "o",
         ),
     ),

@@ -103,17 +103,23 @@ def test_numbers_skip_used_ones(spark):
         "order_number string",
     )
     got = rows(requests.assign_order_numbers(new, used), "id", "order_number")
-    assert got == [(i, f"ORD-1704067200000-{c:04d}") for i, c in zip("abcd", (1, 4, 5, 6))]
+    assert got == [(i, f"ORD-1704067200000-{c:04d}") for i, c in zip("abcd", (4, 5, 6, 7))]
 
 
-def test_a_millisecond_runs_out_of_numbers(spark):
-    new = spark.range(10_500).select(F.col("id"), F.lit(at("2024-01-01")).alias("created_at"))
+def test_a_millisecond_never_runs_out_of_numbers(spark):
+    new = spark.range(25_000).select(F.col("id"), F.lit(at("2024-01-01")).alias("created_at"))
     used = spark.createDataFrame([("ORD-1704067200000-9999",), ("ORD-1704067200000-0001",)], "order_number string")
-    got = requests.assign_order_numbers(new, used)
-    numbered = got.where("order_number IS NOT NULL")
-    assert got.count() == 10_500 and numbered.count() == 9_997
-    assert numbered.select("order_number").distinct().count() == 9_997
-    assert numbered.join(used, "order_number").count() == 0
+    got = requests.assign_order_numbers(new, used).select("order_number").cache()
+    assert got.distinct().count() == 25_000 and got.where("order_number IS NULL").count() == 0
+    assert got.join(used, "order_number").count() == 0
+    again = requests.assign_order_numbers(new, got).select("order_number")
+    assert again.union(got).distinct().count() == 50_000
+
+
+def test_no_time_no_number(spark):
+    new = spark.createDataFrame([("a", None), ("b", at("2024-01-01"))], "id string, created_at timestamp")
+    got = rows(requests.assign_order_numbers(new, spark.createDataFrame([], "order_number string")), "id", "order_number")
+    assert got == [("a", None), ("b", "ORD-1704067200000-0001")]
 
 
 # --- updates -----------------------------------------------------------------------------------
