@@ -8,7 +8,7 @@ share out of the blocks, and affects no result.
 Within a block the sets hang in a signature tree: a leaf holds the bitmap of one set's shingles and its
 size, a node the OR of its leaves' bitmaps and the range of their sizes. Two nodes are descended together
 and left as soon as the largest overlap that their bitmaps and sizes allow is too small for a link. What
-survives is compared exactly.
+survives is held against finer bitmaps, whose length follows that of the document, and then compared exactly.
 
 A large group of near copies would survive as all its pairs. So the members of a block are first compared
 with one centre each, and the trees then look only for links between different components.
@@ -155,21 +155,65 @@ def prefixes(rows: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n bigint, digest string, prefix array<bigint>")
 
 
-def _bitmap(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(shingles & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+def _bitmap(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """One bit for each shingle, by its low bits, as 64-bit words."""
+    held = np.zeros(bits, np.uint8)
+    held[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(held).view(np.uint64)
+
+
+def _folded(words: np.ndarray, bits: int) -> np.ndarray:
+    """The bitmap of the same shingles with fewer bits."""
+    return np.bitwise_or.reduce(words.reshape(-1, bits // 64), axis=0)
 
 
 def bitmaps(rows: DataFrame) -> DataFrame:
-    """(doc_id, text, bitmap) of the given documents."""
+    """(doc_id, n, text, bitmap, fine) of the given documents. ``fine`` has at least four bits for each shingle,
+    so that long documents do not fill it; ``bitmap`` is the same folded to BITS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_bitmap(shingles) for shingles in shingle_sets(_batches(batch)[1])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=["doc_id", "text", "bitmap"])
+            ids, texts = batch.columns
+            sizes, coarse, fine = [], [], []
+            for shingles in shingle_sets(_batches(batch)[1]):
+                words = _bitmap(shingles, max(BITS, 1 << (4 * len(shingles)).bit_length()))
+                sizes.append(len(shingles))
+                fine.append(words.tobytes())
+                coarse.append(_folded(words, BITS).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(sizes, pa.int64()), texts, pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())],
+                names=["doc_id", "n", "text", "bitmap", "fine"],
+            )
+
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, text string, bitmap binary, fine binary")
+
+
+def most_common(n_x: int, fine_x: np.ndarray, n_y: int, fine_y: np.ndarray) -> int:
+    """The largest overlap of two sets that their fine bitmaps allow."""
+    bits = 64 * min(len(fine_x), len(fine_y))
+    x, y = _folded(fine_x, bits), _folded(fine_y, bits)
+    slack = min(n - int(np.bitwise_count(words).sum()) for n, words in ((n_x, x), (n_y, y)))
+    return min(n_x, n_y, int(np.bitwise_count(x & y).sum()) + slack)
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) that sizes and fine bitmaps cannot rule out; no text is moved for the others."""
+    both = pairs
+    for side in ("a", "b"):
+        own = sets.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("fine").alias(f"fine_{side}"))
+        both = both.join(own.hint("merge"), side)
+    both = both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n_a, n_b, fine_a, fine_b in zip(*(batch.column(n).to_pylist() for n in (2, 3, 4, 5))):
+                common = most_common(n_a, np.frombuffer(fine_a, np.uint64), n_b, np.frombuffer(fine_b, np.uint64))
+                keep.append(common * (100 + percent) >= percent * (n_a + n_b))
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(n).filter(chosen) for n in (0, 1)], names=["a", "b"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, bitmap binary")
+    return both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -341,18 +385,22 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, leaves: int = LEAVES,
     sets = scratch.store(bitmaps(rows.join(involved.hint("merge"), "doc_id", "left_semi")), "sets")
     scratch.drop("prefixes", "blocks")
 
-    # each document is compared with one centre: of most of its blocks the member that is in most blocks
+    # each document is compared with one centre: of most of its blocks the member that is in most blocks,
+    # where their sizes allow a link
     weight = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight"))
     hubs = (
         placed.join(weight.hint("merge"), "doc_id").groupBy("block")
-        .agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("hub"))
+        .agg(F.max_by(F.struct("doc_id", "n"), F.struct("weight", -F.col("doc_id"))).alias("hub"))
+        .select("block", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"))
     )
     stars = (
-        placed.join(hubs.hint("merge"), "block").filter("doc_id <> hub").groupBy("doc_id", "hub").count()
+        placed.join(hubs.hint("merge"), "block")
+        .filter((F.col("doc_id") != F.col("hub")) & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent))
+        .groupBy("doc_id", "hub").count()
         .groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a"))
         .select("a", F.col("doc_id").alias("b"))
     )
-    near = scratch.store(linked(stars, sets, percent), "near")
+    near = scratch.store(linked(possible(stars, sets, percent), sets, percent), "near")
     found = scratch.store(components(near, scratch, "first"), "found")
     labelled = placed.join(found.hint("merge"), "doc_id", "left").select(
         "block", "doc_id", "n", "members", F.coalesce("component_id", "doc_id").alias("component")
@@ -367,9 +415,10 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, leaves: int = LEAVES,
         .join(sets.select("doc_id", "bitmap").hint("merge"), "doc_id")
         .select("block", "part", "doc_id", "n", "component", "bitmap"), "open",
     )
-    more = scratch.store(linked(tree_pairs(open_members, percent), sets, percent), "more")
+    close = scratch.store(possible(tree_pairs(open_members, percent), sets, percent), "close")
+    more = scratch.store(linked(close, sets, percent), "more")
     final = scratch.store(components(near.unionByName(more), scratch, "second"), "components")
-    scratch.drop("placed", "sets", "near", "found", "open", "more")
+    scratch.drop("placed", "sets", "near", "found", "open", "close", "more")
     return (
         member.withColumnRenamed("doc_id", "id").join(
             final.withColumnRenamed("doc_id", "class").hint("merge"), "class", "left"
