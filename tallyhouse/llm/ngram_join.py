@@ -33,6 +33,7 @@ PERCENT = 75
 BITS = 4096
 FANOUT = 16
 LEAVES = 512  # leaves of one tree; a larger block is cut into trees that are traversed in pairs
+REPEATED = 32  # documents that make a shingle frequent, whatever the size of the table
 FREQUENT = 100_000  # shingles at most whose place in the order is moved to the end
 CHUNK = 1 << 20
 BLANK = np.zeros(256, bool)
@@ -92,7 +93,7 @@ def _batches(batch: pa.RecordBatch) -> tuple[list, list[bytes]]:
     return batch.column(0).to_pylist(), [text.encode() for text in batch.column(1).to_pylist()]
 
 
-def frequent_shingles(rows: DataFrame, n_docs: int, limit: int = FREQUENT) -> np.ndarray:
+def frequent_shingles(rows: DataFrame, limit: int = FREQUENT) -> np.ndarray:
     """The most frequent shingles, at most ``limit``, sorted by hash.
 
     Each task adds up the shingles that occur in several of its documents. What is found only sets the
@@ -121,7 +122,7 @@ def frequent_shingles(rows: DataFrame, n_docs: int, limit: int = FREQUENT) -> np
             yield repeated()
 
     counted = rows.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.col("n") >= max(32, n_docs // 4000)).orderBy(F.desc("n"), "shingle").limit(limit)
+    top = counted.filter(F.col("n") >= REPEATED).orderBy(F.desc("n"), "shingle").limit(limit)
     return np.sort(np.array([row["shingle"] for row in top.collect()], np.int64).view(np.uint64))
 
 
@@ -353,7 +354,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, leaves: int = LEAVES,
     """
     scratch = Scratch(prepare(docs.sparkSession), "ngram-join")
     rows = one_per_id(docs)
-    late = frequent_shingles(rows, rows.count(), frequent)
+    late = frequent_shingles(rows, frequent)
     firsts = scratch.store(prefixes(rows, late, percent), "prefixes")
 
     # documents with equal sets are one class, named by its smallest id
