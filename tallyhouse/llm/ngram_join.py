@@ -7,8 +7,11 @@ share out of the blocks, and affects no result.
 
 Within a block the sets hang in a signature tree: a leaf holds the bitmap of one set's shingles and its
 size, a node the OR of its leaves' bitmaps and the range of their sizes. Two nodes are descended together
-and left as soon as the largest overlap that their bitmaps and sizes allow is too small for a link. What
-survives is held against finer bitmaps, whose length follows that of the document, and then compared exactly.
+and left as soon as the largest overlap that their bitmaps and sizes allow is too small for a link. Two sets
+need only be found in the first block they share: there the overlap lies at or behind the block's place in
+both, and the blocks before it differ, so a pair is left where a place is too late or both come from the same
+block. What survives is held against finer bitmaps, whose length follows that of the document, and then
+compared exactly.
 
 A large group of near copies would survive as all its pairs. So the members of a block are first compared
 with one centre each, and the trees then look only for links between different components.
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.components import components
@@ -239,28 +242,36 @@ def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 class SignatureTree:
-    """Leaves in order of size; levels of nodes over FANOUT children, each with OR bitmap and size range."""
+    """Leaves in order of size; levels of nodes over FANOUT children, each with OR bitmap and size range.
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray, bitmaps: np.ndarray) -> None:
+    ``rests`` are the shingles of each set from the block's place on, ``before`` the block ahead of this one
+    in each set, where it is not the ``first``.
+    """
+
+    def __init__(
+        self, ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray, bitmaps: np.ndarray, rests: np.ndarray,
+        before: np.ndarray, first: np.ndarray,
+    ) -> None:
         order = np.lexsort((ids, sizes))
-        self.ids, self.groups = ids[order], groups[order]
+        self.ids, self.groups, self.before, self.first = ids[order], groups[order], before[order], first[order]
         bitmaps, sizes = bitmaps[order], sizes[order]
         slack = sizes - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)  # shingles that share a bit
-        self.levels = [(bitmaps, sizes, sizes, slack, self.groups, self.groups)]
+        self.levels = [(bitmaps, sizes, rests[order], slack, self.groups, self.groups, sizes)]
         while len(self.levels[-1][0]) > 1:
             at = np.arange(0, len(self.levels[-1][0]), FANOUT)
-            ors, low, high, loose, first, last = self.levels[-1]
+            ors, low, rest, loose, least, last, high = self.levels[-1]
             self.levels.append((
-                np.bitwise_or.reduceat(ors, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at),
-                np.maximum.reduceat(loose, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at),
+                np.bitwise_or.reduceat(ors, at), np.minimum.reduceat(low, at), np.maximum.reduceat(rest, at),
+                np.maximum.reduceat(loose, at), np.minimum.reduceat(least, at), np.maximum.reduceat(last, at),
+                np.maximum.reduceat(high, at),
             ))
 
 
 def traverse(one: SignatureTree, two: SignatureTree, percent: int) -> np.ndarray:
     """Leaf pairs (x of one, y of two) of different groups that the bitmaps cannot rule out.
 
-    An overlap is at most the common bits plus the smaller slack, and at most the smaller set; a link of
-    sizes m and n needs percent * (m + n) / (100 + percent).
+    An overlap is at most the common bits plus the smaller slack, and in the first common block at most the
+    smaller rest; a link of sizes m and n needs percent * (m + n) / (100 + percent).
     """
     top = max(len(one.levels), len(two.levels)) - 1
     x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -272,7 +283,7 @@ def traverse(one: SignatureTree, two: SignatureTree, percent: int) -> np.ndarray
             common = np.bitwise_count(a[0][p] & b[0][q]).sum(1, dtype=np.int64)
             overlap = np.minimum(common + np.minimum(a[3][p], b[3][q]), np.minimum(a[2][p], b[2][q]))
             ok = overlap * (100 + percent) >= percent * (a[1][p] + b[1][q])
-            ok &= (a[2][p] * 100 >= percent * b[1][q]) & (b[2][q] * 100 >= percent * a[1][p])
+            ok &= (a[6][p] * 100 >= percent * b[1][q]) & (b[6][q] * 100 >= percent * a[1][p])
             ok &= ~((a[4][p] == a[5][p]) & (b[4][q] == b[5][q]) & (a[4][p] == b[4][q]))
             if one is two:
                 ok &= p <= q
@@ -282,6 +293,8 @@ def traverse(one: SignatureTree, two: SignatureTree, percent: int) -> np.ndarray
             x, y = _children(x, y, one.levels, two.levels, level)
     if one is two:
         x, y = x[x < y], y[x < y]
+    met = ~one.first[x] & ~two.first[y] & (one.before[x] == two.before[y])
+    x, y = x[~met], y[~met]
     return np.stack([one.ids[x], two.ids[y]], axis=1)
 
 
@@ -301,15 +314,15 @@ def _children(x: np.ndarray, y: np.ndarray, one: list, two: list, level: int) ->
 
 
 def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of (block, part, doc_id, n, component, bitmap) rows: every block's parts are
-    traversed in pairs, each pair of parts in a task of its own."""
+    """Candidate pairs (a, b) of (block, part, doc_id, n, component, bitmap, rest, before) rows: every block's
+    parts are traversed in pairs, each pair of parts in a task of its own."""
     parts = members.groupBy("block").agg(F.max("part").alias("last"))
     dealt = members.join(parts.hint("merge"), "block").select(
-        "block", "doc_id", "n", "component", "bitmap", "part",
+        "block", "doc_id", "n", "component", "bitmap", "rest", "before", "part",
         F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"),
     ).select(
         "block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
-        "part", "doc_id", "n", "component", "bitmap",
+        "part", "doc_id", "n", "component", "bitmap", "rest", "before",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,6 +336,8 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
                 trees[part] = SignatureTree(
                     np.array([r[4] for r in own]), np.array([r[5] for r in own]), np.array([r[6] for r in own]),
                     np.frombuffer(b"".join(r[7] for r in own), np.uint64).reshape(len(own), -1),
+                    np.array([r[8] for r in own]), np.array([r[9] or 0 for r in own]),
+                    np.array([r[9] is None for r in own]),
                 )
             low, high = key[1], key[2]
             pairs = traverse(trees[low], trees[high], percent) if low in trees and high in trees else np.zeros((0, 2), np.int64)
@@ -366,21 +381,25 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, leaves: int = LEAVES,
     leading = member.filter("doc_id = class AND n > 0").select("doc_id")
     tokens = (
         firsts.join(leading.hint("merge"), "doc_id", "left_semi")
-        .select("doc_id", "n", F.explode("prefix").alias("token"))
+        .select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     )
-    # of tokens with the same members one is enough
+    # of tokens with the same members the first in the order is enough
     blocks = scratch.store(
         tokens.groupBy("token").agg(
-            F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("centre"),
+            F.count(F.lit(1)).alias("members"), F.min(F.struct("doc_id", "pos")).alias("one"),
             F.sum(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum"),
             F.bit_xor(F.xxhash64("doc_id", F.lit(3))).alias("xor"),
         ).filter("members > 1")
-        .groupBy("members", "centre", "sum", "xor").agg(F.min("token").alias("token"))
-        .select("token", "centre", "members"), "blocks",
+        .groupBy("members", "one.doc_id", "sum", "xor").agg(F.min(F.struct("one.pos", "token")).alias("first"))
+        .select("first.token", "members"), "blocks",
     )
+    # a document's blocks in the order of its shingles: at most a quarter of those
+    own = Window.partitionBy("doc_id")
     placed = scratch.store(
-        tokens.join(blocks.hint("merge"), "token")
-        .select(F.col("token").alias("block"), "doc_id", "n", "centre", "members"), "placed",
+        tokens.join(blocks.hint("merge"), "token").select(
+            F.col("token").alias("block"), "doc_id", "n", "members", (F.col("n") - F.col("pos")).alias("rest"),
+            F.lag("token").over(own.orderBy("pos")).alias("before"), F.count(F.lit(1)).over(own).alias("weight"),
+        ), "placed",
     )
     involved = placed.select("doc_id").distinct()
     sets = scratch.store(bitmaps(rows.join(involved.hint("merge"), "doc_id", "left_semi")), "sets")
@@ -388,9 +407,8 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, leaves: int = LEAVES,
 
     # each document is compared with one centre: of most of its blocks the member that is in most blocks,
     # where their sizes allow a link
-    weight = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight"))
     hubs = (
-        placed.join(weight.hint("merge"), "doc_id").groupBy("block")
+        placed.groupBy("block")
         .agg(F.max_by(F.struct("doc_id", "n"), F.struct("weight", -F.col("doc_id"))).alias("hub"))
         .select("block", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"))
     )
@@ -404,7 +422,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, leaves: int = LEAVES,
     near = scratch.store(linked(possible(stars, sets, percent), sets, percent), "near")
     found = scratch.store(components(near, scratch, "first"), "found")
     labelled = placed.join(found.hint("merge"), "doc_id", "left").select(
-        "block", "doc_id", "n", "members", F.coalesce("component_id", "doc_id").alias("component")
+        "block", "doc_id", "n", "members", "rest", "before", F.coalesce("component_id", "doc_id").alias("component")
     )
     mixed = (
         labelled.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -414,7 +432,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, leaves: int = LEAVES,
     open_members = scratch.store(
         labelled.join(mixed.hint("merge"), "block", "left_semi").withColumn("part", spread)
         .join(sets.select("doc_id", "bitmap").hint("merge"), "doc_id")
-        .select("block", "part", "doc_id", "n", "component", "bitmap"), "open",
+        .select("block", "part", "doc_id", "n", "component", "bitmap", "rest", "before"), "open",
     )
     close = scratch.store(possible(tree_pairs(open_members, percent), sets, percent), "close")
     more = scratch.store(linked(close, sets, percent), "more")
