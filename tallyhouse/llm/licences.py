@@ -7,7 +7,8 @@ which no foreign training paragraph would be taken for a licence is the bar. A p
 has to share enough of the words of one template of its family.
 
 The model is a small table of weights, so scoring is a lookup and a sum in DataFrame functions; no Python
-runs on the executors. Paragraphs that cannot share enough words with any template are left out first.
+runs on the executors. A paragraph is a run of lines, as many as the longest template can be wrapped to.
+Runs that cannot share enough words with any template are left out first.
 """
 
 from __future__ import annotations
@@ -161,69 +162,172 @@ def has_any(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(F.lower(text)), found)
 
 
+def bound(value: Column, function) -> Column:
+    """``function`` of a value that is worked out once, however often the function uses it."""
+    return F.transform(F.array(value), function)[0]
+
+
+def confirming(words: Column, share: Column) -> Column:
+    """Whether the words hold ``share`` of the distinct words of any template."""
+    hit = F.lit(False)
+    for text in (text for texts in TEMPLATES.values() for text in texts):
+        own = sorted(set(words_of(text)))
+        hit = hit | (F.size(F.array_intersect(words, F.array(*map(F.lit, own)))) / float(len(own)) >= share)
+    return hit
+
+
+def judged(words: Column, model: dict) -> Column:
+    """(family, probability, shared) of a word list; the family is null where no feature is known."""
+    classes, names = model["classes"], sorted(model["weights"])
+    table = F.create_map(*(
+        part for name in names
+        for part in (F.lit(name), F.array(*(F.lit(float(v)) for v in model["weights"][name])))
+    ))
+    pairs = F.when(F.size(words) > 1, F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))),
+        lambda n: F.concat_ws(" ", F.get(words, n), F.get(words, n + 1)),
+    )).otherwise(F.array().cast("array<string>"))
+    known = F.filter(F.array_distinct(F.concat(words, pairs)), lambda f: F.array_contains(F.lit(names), f))
+    zero = F.array(*(F.lit(0.0) for _ in classes))
+
+    def odds(known: Column) -> Column:
+        summed = F.aggregate(
+            known, zero, lambda total, f: F.zip_with(total, F.element_at(table, f), lambda a, b: a + b)
+        )
+        scale = F.sqrt(F.greatest(F.size(known), F.lit(1)).cast("double"))
+        return F.when(F.size(known) > 0, F.zip_with(
+            summed, F.array(*(F.lit(float(b)) for b in model["bias"])), lambda s, b: F.exp(s / scale + b)
+        ))
+
+    def shared(family: Column) -> Column:
+        out = F.lit(0.0)
+        for name in classes[1:]:
+            parts = []
+            for text in TEMPLATES[name]:
+                own = sorted(set(words_of(text)))
+                parts.append(F.size(F.array_intersect(words, F.array(*map(F.lit, own)))) / float(len(own)))
+            out = F.when(family == name, F.greatest(*parts) if len(parts) > 1 else parts[0]).otherwise(out)
+        return out
+
+    def verdict(odds: Column) -> Column:
+        best = F.slice(odds, 2, len(classes) - 1)
+        family = F.element_at(
+            F.array(*map(F.lit, classes[1:])), F.array_position(best, F.array_max(best)).cast("int")
+        )
+        total = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
+        return bound(family, lambda name: F.struct(
+            name.alias("family"), (1 - odds[0] / total).alias("probability"), shared(name).alias("shared")
+        ))
+
+    return bound(bound(known, odds), verdict)
+
+
+def following(words: Column, at: Column, longest: int) -> Column:
+    """The beginnings of the lines after line ``at`` that a notice beginning there can reach: up to a line
+    without words."""
+    after = F.transform(F.slice(words, at + 2, longest), lambda line: F.slice(line, 1, longest))
+
+    def cut(lines: Column) -> Column:
+        blank = F.array_position(F.transform(lines, F.size), 0).cast("int")
+        return F.when(blank > 0, F.slice(lines, F.lit(1), F.greatest(blank - 1, F.lit(0)))).otherwise(lines)
+
+    return bound(after, cut)
+
+
+def runs_from(words: Column, at: Column, longest: int) -> Column:
+    """[(last, back, words)]: line ``at`` alone, and with each number of lines after it between whose ends a
+    template has room. Of the outer lines of several those words count that a template can reach."""
+    own = F.get(words, at)
+    tail = F.slice(own, F.greatest(F.size(own) - longest + 1, F.lit(1)), longest)
+
+    def lists(rest: Column) -> Column:
+        def run(n: Column) -> Column:
+            listed = F.when(n == 0, own).otherwise(F.concat(tail, F.flatten(F.slice(rest, F.lit(1), n))))
+            return F.struct((at + n).alias("last"), (-at).alias("back"), listed.alias("words"))
+
+        def room(n: Column) -> Column:
+            inner = F.slice(rest, F.lit(1), F.greatest(n - 1, F.lit(0)))
+            return F.aggregate(inner, F.lit(0), lambda total, line: total + F.size(line)) < longest
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(rest)), room), run)
+
+    near = bound(following(words, at, longest), lambda rest: F.when(
+        confirming(F.concat(own, F.flatten(rest)), F.lit(MIN_SHARED)), lists(rest)
+    ))
+    return F.filter(
+        F.coalesce(near, F.array().cast("array<struct<last: int, back: int, words: array<string>>>")),
+        lambda run: confirming(run["words"], F.lit(MIN_SHARED)),
+    )
+
+
+def apart(found: Column, families: list[str]) -> Column:
+    """Of runs sorted by their end, the later start first, those that share no line with one of the same
+    family before them. So a run with a smaller one inside goes."""
+    kind = "array<struct<last: int, back: int, family: string, probability: double, shared: double>>"
+    nothing = F.struct(F.lit(-1).alias("end"), F.array().cast(kind).alias("kept"))
+
+    def of(family: str) -> Column:
+        return F.aggregate(
+            F.filter(found, lambda run: run["family"] == family), nothing,
+            lambda state, run: F.when(-run["back"] > state["end"], F.struct(
+                run["last"].alias("end"), F.concat(state["kept"], F.array(run)).alias("kept")
+            )).otherwise(state),
+            lambda state: state["kept"],
+        )
+
+    return F.concat(*map(of, families))
+
+
 def licence_paragraphs(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """(doc_id, paragraph, family, probability, shared): paragraphs (lines) taken for a licence notice.
+    """(doc_id, paragraph, last_paragraph, family, probability, shared): lines taken for a licence notice.
 
-    ``paragraph`` is the line's number from 0, ``shared`` the part of the best template's words that the
-    line has. Null and empty texts have no notice. Rows are independent: repeated rows give repeated
-    results, a null id stays null, other columns are ignored.
+    ``paragraph`` and ``last_paragraph`` are the numbers, from 0, of the first and last line of the shortest
+    run of lines that is confirmed; a run has no line without words inside, and runs of one family share no
+    line. So a notice may be wrapped at any width, and one on a single line is found on that line.
+    ``shared`` is the part of the best template's words that the run has. Null and empty texts have no notice.
+    Rows are independent: repeated rows give repeated results, a null id stays null, other columns are ignored.
     """
     prepare(docs.sparkSession)
     model = model or train()
-    classes = model["classes"]
     telling = telling_words()
-    lines = (
+    longest = max(len(words_of(text)) for texts in TEMPLATES.values() for text in texts)
+    # the explode calls bind a document's words and runs once
+    words = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .filter(has_any(F.col("text"), telling))
-        .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-        .filter(has_any(F.col("line"), telling))
-        .select("doc_id", "paragraph", F.explode(F.array(column_words(F.col("line")))).alias("words"))
-    )
-    table = F.create_map(*(
-        part for name, row in sorted(model["weights"].items())
-        for part in (F.lit(name), F.array(*(F.lit(float(v)) for v in row)))
-    ))
-    pairs = F.when(F.size("words") > 1, F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("words") - 2, F.lit(0))),
-        lambda n: F.concat_ws(" ", F.get("words", n), F.get("words", n + 1)),
-    )).otherwise(F.array().cast("array<string>"))
-    known = F.filter(
-        F.array_distinct(F.concat("words", pairs)), lambda f: F.array_contains(F.lit(sorted(model["weights"])), f)
+        .select("doc_id", F.split("text", "\n", -1).alias("lines"))
+        .select("doc_id", F.explode(F.array(F.struct(
+            F.transform("lines", column_words).alias("words"),
+            F.transform("lines", lambda line: has_any(line, telling)).alias("telling"),
+        ))).alias("cut"))
+        .select("doc_id", F.col("cut.words").alias("words"), F.col("cut.telling").alias("telling"))
     )
-    zero = F.array(*(F.lit(0.0) for _ in classes))
-    summed = F.aggregate(
-        "known", zero, lambda total, f: F.zip_with(total, F.element_at(table, f), lambda a, b: a + b)
-    )
-    scale = F.sqrt(F.greatest(F.size("known"), F.lit(1)).cast("double"))
-    scores = F.zip_with(
-        "summed", F.array(*(F.lit(float(b)) for b in model["bias"])), lambda s, b: F.exp(s / scale + b)
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("words") - 1),
+        lambda at: (F.size(F.get("words", at)) > 0) & F.exists(F.slice("telling", at + 1, longest + 1), lambda hit: hit),
     )
-    scored = (
-        lines.withColumn("known", known).filter(F.size("known") > 0)
-        .withColumn("summed", summed).withColumn("odds", scores)
-        .withColumn("total", F.aggregate("odds", F.lit(0.0), lambda a, b: a + b))
-        .withColumn("probability", 1 - F.col("odds")[0] / F.col("total"))
-        .filter(F.col("probability") >= model["bar"])
-        .withColumn("best", F.slice("odds", 2, len(classes) - 1))
-        .withColumn("family", F.element_at(
-            F.array(*map(F.lit, classes[1:])), F.array_position("best", F.array_max("best")).cast("int")
-        ))
-    )
-    shared = F.lit(0.0)
-    for family in classes[1:]:
-        parts = []
-        for text in TEMPLATES[family]:
-            own = sorted(set(words_of(text)))
-            parts.append(F.size(F.array_intersect("words", F.array(*map(F.lit, own)))) / float(len(own)))
-        shared = F.when(F.col("family") == family, F.greatest(*parts) if len(parts) > 1 else parts[0]).otherwise(shared)
+    runs = words.select(
+        "doc_id", F.explode(F.array(F.flatten(F.transform(starts, lambda at: runs_from(F.col("words"), at, longest))))).alias("runs")
+    ).filter(F.size("runs") > 0)
+    scored = runs.select("doc_id", F.explode(F.array(F.transform("runs", lambda run: bound(
+        judged(run["words"], model),
+        lambda v: F.struct(run["last"], run["back"], v["family"].alias("family"), v["probability"].alias("probability"),
+                           v["shared"].alias("shared")),
+    )))).alias("scored"))
+    found = F.array_sort(F.filter(
+        "scored", lambda run: (run["probability"] >= model["bar"]) & (run["shared"] >= MIN_SHARED)
+    ))
     return (
-        scored.withColumn("shared", shared).filter(F.col("shared") >= MIN_SHARED)
-        .select("doc_id", "paragraph", "family", "probability", "shared")
+        scored.select("doc_id", F.explode(F.array(found)).alias("found"))
+        .select("doc_id", F.explode(apart(F.col("found"), model["classes"][1:])).alias("run"))
+        .select("doc_id", (-F.col("run.back")).alias("paragraph"), F.col("run.last").alias("last_paragraph"),
+                "run.family", "run.probability", "run.shared")
     )
 
 
 def op9_licences(spark, sf_dir):
     return licence_paragraphs(documents(spark, sf_dir)).select(
-        "doc_id", F.col("paragraph").cast("bigint").alias("paragraph"), "family",
+        "doc_id", F.col("paragraph").cast("bigint").alias("paragraph"),
+        F.col("last_paragraph").cast("bigint").alias("last_paragraph"), "family",
         F.round("probability", 6).alias("probability"), F.round("shared", 6).alias("shared"),
     )

@@ -165,6 +165,23 @@ def test_licences(spark, awkward, empty):
     assert licences.licence_paragraphs(awkward).count() == licences.licence_paragraphs(empty).count() == 0
 
 
+def test_wrapped_licences(spark):
+    docs = table(spark, [
+        (1, "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU "
+            "General Public License as published by\n# the Free Software Foundation, either version 3 of the License", "en"),
+        (2, "x\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted "
+            "provided that the following conditions\nare met:", "en"),
+        (3, "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and "
+            "associated documentation files", "en"),
+        (4, "Licensed under the Apache\nLicense, Version 2.0", "en"),
+        (5, "Redistribution and use in source\n\nand binary forms, with or without modification, are", "en"),
+        (6, "Released under the MIT License.\nReleased under the MIT License.", "en"),
+    ])
+    got = sorted((r["doc_id"], r["paragraph"], r["last_paragraph"], r["family"])
+                 for r in licences.licence_paragraphs(docs).collect())
+    assert got == [(1, 0, 1, "gpl"), (2, 2, 3, "bsd"), (3, 0, 1, "mit"), (4, 0, 1, "apache"), (6, 0, 0, "mit"), (6, 1, 1, "mit")]
+
+
 def test_personal_data(spark, awkward, empty):
     rows = [(n, f"please call us now +1 (212) 555-0{n}00", "en") for n in range(100, 120)]
     rows += [(1, "please call us now 212-555-0199", "en"), (2, "a@b.com 1.2.3.400 10.0.0.1 4111111111111111", "en"),
