@@ -1,17 +1,19 @@
 """A corpus from documents: language, exact and near duplicates, benchmark items, tokens.
 
 STAGES are applied in order; each gets what its predecessor kept, written as Parquet and read again. All but
-the last return the columns of documents. Rows without a doc_id are never named by a decision and pass the
-duplicate and benchmark stages; rows sharing a doc_id share its fate.
+the last return the columns of documents. Every row meets its own decision: where rows share a doc_id or have
+none, a stage judges them by numbers that it gives to the rows of its stored input.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import bpe, decontaminate, exact_dedup, lang_id, ngram_join
-from tallyhouse.llm.shared import Scratch, prepare
+from tallyhouse.llm.shared import OWNER, Scratch, numbered, prepare
 
 MIN_LANGUAGE_SCORE = 0.3
 VOCABULARY = "word_bpe_49k.json"
@@ -22,30 +24,43 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(dropped.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
+def _left(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], nulls_first: bool = False) -> DataFrame:
+    """The rows that ``judge``, given rows whose doc_id tells them apart, does not name as dropped."""
+    rows = numbered(docs, nulls_first)
+    if rows is None:
+        return _without(docs, judge(docs))
+    left = _without(rows, judge(rows.drop(OWNER)))
+    return left.select(*(F.col(OWNER if name == "doc_id" else name).alias(name) for name in docs.columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or in none of the known languages, go. The prediction is per row."""
-    found = lang_id.predict(docs, lang_id.fit(docs))
-    rejected = found.filter(
-        (F.col("lang_pred") == lang_id.UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE)
-    )
+    model = lang_id.fit(docs)
+
+    def rejected(rows: DataFrame) -> DataFrame:
+        return lang_id.predict(rows, model).filter(
+            (F.col("lang_pred") == lang_id.UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE)
+        )
+
     lettered = F.coalesce("text", F.lit("")).rlike(r"\p{L}")
-    return _without(docs.filter(lettered), rejected)
+    return _left(docs.filter(lettered), rejected)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
-    return _without(docs, exact_dedup.exact_dedup(docs).filter(~F.col("kept")))
+    """Of equal texts the row with the largest doc_id stays, one without an id only where none has one."""
+    return _left(docs, lambda rows: exact_dedup.exact_dedup(rows).filter(~F.col("kept")), nulls_first=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similarity the smallest doc_id stays."""
-    return _without(docs, ngram_join.jaccard_links(docs).filter("component_id <> doc_id"))
+    """Of rows linked by similarity that with the smallest doc_id stays, one without an id only where none
+    has one."""
+    return _left(docs, lambda rows: ngram_join.jaccard_links(rows).filter("component_id <> doc_id"))
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contaminated(docs, benchmark))
+    return _left(docs, lambda rows: decontaminate.contaminated(rows, benchmark))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shared import Scratch, documents, one_per_id, prepare
+from tallyhouse.llm.shared import Scratch, documents, prepare, repeated_ids, texts
 
 WORDS = 5
 PERCENT = 75
@@ -91,12 +91,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     shingle set and how much of it the document has.
 
     Null texts count as empty; an empty item or document matches nothing. An item of fewer than ``words``
-    words is contained where its words appear in a row. Rows without an id are left out; of rows sharing
-    an id the greatest text counts; other columns are ignored.
+    words is contained where its words appear in a row. Rows without an id are left out; rows sharing an id
+    are one document with the shingles of all; other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "decontaminate")
-    rows = one_per_id(docs)
+    rows = texts(docs).filter(F.col("doc_id").isNotNull())
     items = scratch.store(item_shingles(benchmark, words), "items")
     wanted = scratch.store(sketches(items, percent), "sketches")
     limits = wanted.groupBy("length", "size_class").agg(F.max("hash").alias("limit"), F.count(F.lit(1)).alias("rows"))
@@ -116,11 +116,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     if found is None:
         return spark.createDataFrame([], schema)
     candidates = scratch.store(found.distinct(), "candidates")
-    return verified(rows, items, candidates, percent, sorted({row[0] for row in partitions}))
+    return verified(rows, items, candidates, percent, sorted({row[0] for row in partitions}), repeated_ids(rows))
 
 
-def verified(rows: DataFrame, items: DataFrame, candidates: DataFrame, percent: int, lengths: list[int]) -> DataFrame:
-    """Exact containment of the candidate pairs, on the words themselves."""
+def verified(
+    rows: DataFrame, items: DataFrame, candidates: DataFrame, percent: int, lengths: list[int], repeated: bool
+) -> DataFrame:
+    """Exact containment of the candidate pairs, on the words themselves. ``repeated`` tells that rows share
+    ids, so that several may hold a shingle."""
     suspects = candidates.select("doc_id").distinct()
     texts = rows.join(sized(suspects, suspects.count()), "doc_id", "left_semi")
     n_items = items.count()
@@ -130,9 +133,10 @@ def verified(rows: DataFrame, items: DataFrame, candidates: DataFrame, percent:
             "doc_id", F.explode(F.array_distinct(shingles_of(F.col("text"), length, joined))).alias("shingle")
         )
         own = items.filter(F.col("length") == length).select("shingle", "item_id", "n")
-        part = held.join(sized(own, n_items), "shingle").groupBy("doc_id", "item_id", "n").agg(
-            F.count(F.lit(1)).alias("n_shared")
-        )
+        hits = held.join(sized(own, n_items), "shingle")
+        if repeated:
+            hits = hits.distinct()
+        part = hits.groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
         shared = part if shared is None else shared.unionByName(part)
     return (
         shared.filter(F.col("n_shared") * 100 >= F.col("n") * percent)
@@ -143,7 +147,14 @@ def verified(rows: DataFrame, items: DataFrame, candidates: DataFrame, percent:
 
 def op6_decontaminate(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contaminated(docs, benchmark)
+    nameless = docs.filter(F.col("doc_id").isNull())
+    if nameless.isEmpty():
+        return found
+    # as in the SQL, the rows without an id are one document
+    one = contaminated(nameless.withColumn("doc_id", F.lit(0).cast("bigint")), benchmark)
+    return found.unionByName(one.withColumn("doc_id", F.lit(None).cast("bigint")))
 
 
 OP6_SQL = r"""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shared import Scratch, documents, one_per_id, prepare
+from tallyhouse.llm.shared import Scratch, documents, one_per_text, prepare, texts
 
 SALTS = 16
 
@@ -25,11 +25,19 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sa
     """(doc_id, keep_id, group_size, kept, text_sha256): the group of equal texts each document is in.
 
     The document with the largest id stays. Null and empty texts are equal. Rows without an id are left
-    out; of rows sharing an id the greatest text counts; other columns are ignored. An empty table gives
-    an empty result. ``digest`` only groups: texts with the same digest are told apart.
+    out; each id and text counts once, so an id with several texts is in several groups; other columns are
+    ignored. An empty table gives an empty result. ``digest`` only groups: texts with the same digest are
+    told apart.
     """
-    scratch = Scratch(prepare(docs.sparkSession), "exact-dedup")
-    rows = one_per_id(docs).withColumn("digest", digest(F.col("text")))
+    prepare(docs.sparkSession)
+    return equal_texts(one_per_text(docs), digest, salts)
+
+
+def equal_texts(rows: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = SALTS) -> DataFrame:
+    """The same for every row of (doc_id, text): ``group_size`` counts rows, and a row without an id has its
+    group's largest id, and null for ``kept``."""
+    scratch = Scratch(prepare(rows.sparkSession), "exact-dedup")
+    rows = rows.withColumn("digest", digest(F.col("text")))
     salted = (
         rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
         .groupBy("digest", "salt", "text")
@@ -55,15 +63,16 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sa
     members = rows.select("doc_id", "digest", sha).join(alone.hint("merge"), "digest").select(found)
     mixed = per_digest.filter("contents > 1").select("digest")
     if not mixed.isEmpty():
-        kept_texts = groups.join(mixed, "digest", "left_semi").join(
-            rows.select(F.col("doc_id").alias("keep_id"), "text"), "keep_id"
+        clash = rows.join(mixed, "digest", "left_semi")
+        told = clash.groupBy("digest", "text").agg(
+            F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
         )
-        members = members.unionByName(rows.join(kept_texts, ["digest", "text"]).select("*", sha).select(found))
+        members = members.unionByName(clash.join(told, ["digest", "text"]).select("*", sha).select(found))
     return members.withColumn("kept", F.col("doc_id") == F.col("keep_id"))
 
 
 def op5_exact_dedup(spark, sf_dir):
-    return exact_dedup(documents(spark, sf_dir))
+    return equal_texts(texts(documents(spark, sf_dir)))
 
 
 OP5_SQL = """

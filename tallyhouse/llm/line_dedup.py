@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shared import Scratch, documents, one_per_id, prepare
+from tallyhouse.llm.shared import OWNER, Scratch, by_row, documents, one_per_text, prepare, repeated_ids
 
 SALTS = 16
 MIN_CHARS = 10
@@ -29,29 +29,33 @@ def line_key(line: Column) -> Column:
 
 
 def later_lines(rows: DataFrame, scratch: Scratch, min_chars: int, salts: int) -> DataFrame:
-    """(doc_id, pos) of lines whose key a document with a smaller id holds."""
+    """(doc_id, pos) of lines whose key a document with a smaller id holds. Numbered rows are compared by the
+    ids they had; without one they neither lose lines nor hold them first."""
+    rows = rows.filter(F.col(OWNER).isNotNull()) if OWNER in rows.columns else rows
+    owner = [OWNER] if OWNER in rows.columns else []
+    of = [*owner, "doc_id"][0]
     keyed = (
-        rows.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-        .select("doc_id", "pos", line_key(F.col("line")).alias("key"))
+        rows.select("doc_id", *owner, F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+        .select("doc_id", *owner, "pos", line_key(F.col("line")).alias("key"))
         .filter(F.char_length("key") >= min_chars)
         .select(
             F.substring(F.unhex(F.sha2("key", 256)), 1, 16).alias("hash"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), "doc_id", "pos",
+            F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), "doc_id", *owner, "pos",
         )
     )
-    placed = keyed.repartitionByRange("hash", "salt").sortWithinPartitions("hash", "salt", "doc_id", "pos")
-    run = Window.partitionBy("hash", "salt").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    placed = keyed.repartitionByRange("hash", "salt").sortWithinPartitions("hash", "salt", *owner, "doc_id", "pos")
+    run = Window.partitionBy("hash", "salt").orderBy(*owner, "doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
     streamed = scratch.store(
-        placed.select("hash", "doc_id", "pos", F.first("doc_id").over(run).alias("run_first")), "streamed"
+        placed.select("hash", "doc_id", *owner, "pos", F.first(of).over(run).alias("run_first")), "streamed"
     )
     repeated = (
         streamed.groupBy("hash").agg(F.min("run_first").alias("first"), F.max("run_first").alias("last"))
         .filter(F.col("first") < F.col("last")).select("hash", "first")
     )
-    within = streamed.filter(F.col("doc_id") > F.col("run_first")).select("doc_id", "pos")
+    within = streamed.filter(F.col(of) > F.col("run_first")).select("doc_id", "pos")
     across = (
-        streamed.filter(F.col("doc_id") == F.col("run_first"))
-        .join(repeated.hint("merge"), "hash").filter(F.col("doc_id") > F.col("first")).select("doc_id", "pos")
+        streamed.filter(F.col(of) == F.col("run_first"))
+        .join(repeated.hint("merge"), "hash").filter(F.col(of) > F.col("first")).select("doc_id", "pos")
     )
     return within.unionByName(across)
 
@@ -62,10 +66,21 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS
 
     A key is the line with ASCII blanks stripped and A-Z lower-cased. A key of at least ``min_chars`` code
     points that several documents hold stays in the smallest id only, with all its lines there. Null text
-    is one empty line. Rows without an id are left out; of rows sharing an id the greatest text counts.
+    is one empty line. Rows without an id are left out, and an id may have one text; ``line_dedup`` takes any.
     """
-    scratch = Scratch(prepare(docs.sparkSession), "line-dedup")
-    dropped = later_lines(one_per_id(docs), scratch, min_chars, salts)
+    return _bitmaps(_told_apart(docs), min_chars, salts)
+
+
+def _told_apart(docs: DataFrame) -> DataFrame:
+    rows = one_per_text(docs)
+    if repeated_ids(rows):
+        raise ValueError("an id has several texts, which bitmaps by id cannot tell apart: use line_dedup")
+    return rows
+
+
+def _bitmaps(rows: DataFrame, min_chars: int, salts: int) -> DataFrame:
+    scratch = Scratch(prepare(rows.sparkSession), "line-dedup")
+    dropped = later_lines(rows, scratch, min_chars, salts)
     words = (
         dropped.groupBy("doc_id", F.floor(F.col("pos") / WORD).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("dropped"))
@@ -78,7 +93,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text): each document without the lines its bitmap drops."""
-    joined = one_per_id(docs).join(bitmaps.hint("merge"), "doc_id", "left")
+    return _applied(_told_apart(docs), bitmaps)
+
+
+def _applied(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    joined = rows.select("doc_id", "text").join(bitmaps.hint("merge"), "doc_id", "left")
     n_lines = F.char_length("text") - F.char_length(F.translate("text", "\n", "")) + 1
     n_dropped = F.aggregate("words", F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w["dropped"]))
     gone = F.flatten(
@@ -110,9 +129,19 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     )
 
 
+def line_dedup(
+    docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS, every_row: bool = False
+) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_text): each id and text without the lines that a smaller id has.
+
+    Texts of one id do not take lines from each other. With ``every_row`` each row of the table is returned;
+    those without an id keep all their lines, as no id is smaller."""
+    prepare(docs.sparkSession)
+    return by_row(docs, lambda rows: _applied(rows, _bitmaps(rows, min_chars, salts)), "doc_id", every_row=every_row)
+
+
 def op10_line_dedup(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return apply_bitmaps(docs, keep_bitmaps(docs)).select(
+    return line_dedup(documents(spark, sf_dir), every_row=True).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
     )
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.components import components
 from tallyhouse.llm.repeats import RangeHash, _mix
-from tallyhouse.llm.shared import Scratch, documents, one_per_id, prepare
+from tallyhouse.llm.shared import Scratch, by_row, documents, prepare, texts
 
 WORDS = 5
 PERCENT = 75
@@ -360,15 +360,24 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def jaccard_links(docs: DataFrame, percent: int = PERCENT, leaves: int = LEAVES, frequent: int = FREQUENT) -> DataFrame:
+def jaccard_links(
+    docs: DataFrame, percent: int = PERCENT, leaves: int = LEAVES, frequent: int = FREQUENT, every_row: bool = False
+) -> DataFrame:
     """(doc_id, n_shingles, component_id): size of each shingle set, and the smallest id reachable by links.
 
     Documents link when 100 * |intersection| >= percent * |union|. A null text or one without words is
-    empty and linked with nothing; fewer than five words are one shingle. Rows without an id are left out;
-    of rows sharing an id the greatest text counts; other columns are ignored.
+    empty and linked with nothing; fewer than five words are one shingle. Rows without an id are left out and
+    each id and text is a document of its own, or with ``every_row`` each row; a component whose rows have no
+    id has null. Other columns are ignored.
     """
-    scratch = Scratch(prepare(docs.sparkSession), "ngram-join")
-    rows = one_per_id(docs)
+    prepare(docs.sparkSession)
+    return by_row(docs, lambda rows: _links(rows, percent, leaves, frequent), "doc_id", "component_id", every_row=every_row)
+
+
+def _links(docs: DataFrame, percent: int, leaves: int, frequent: int) -> DataFrame:
+    """The same where the doc_id tells rows apart."""
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    rows = texts(docs)
     late = frequent_shingles(rows, frequent)
     firsts = scratch.store(prefixes(rows, late, percent), "prefixes")
 
@@ -446,7 +455,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, leaves: int = LEAVES,
 
 
 def op7_ngram_join(spark, sf_dir):
-    return jaccard_links(documents(spark, sf_dir))
+    return jaccard_links(documents(spark, sf_dir), every_row=True)
 
 
 def brute_force(texts: dict[int, str], percent: int = PERCENT) -> dict[int, tuple[int, int]]:

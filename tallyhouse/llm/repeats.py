@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shared import Scratch, documents, one_per_id, prepare
+from tallyhouse.llm.shared import Scratch, by_row, documents, prepare, texts
 
 WINDOW = 100
 GRAM = 32
@@ -230,7 +230,7 @@ def repeated_runs(
     docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK
 ) -> DataFrame:
     """(doc_id, first, last): runs of window starts whose window starts earlier too."""
-    rows = one_per_id(docs)
+    rows = texts(docs)
     here = F.struct("doc_id", "first")
 
     grams = anchor_rows(rows, window, gram)
@@ -266,17 +266,23 @@ def repeated_runs(
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, every_row: bool = False
 ) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): each text as bytes without those that a ``window``-byte string covers
     which also starts earlier: in a document of smaller id, or in the same one.
 
     ``spans`` are the maximal removed runs as (start, end) in bytes; ``kept`` is binary, as a removed run
     may cut a character. Matches never cross documents and are judged on the input. Null text is empty;
-    texts shorter than the window stay whole. Rows without an id are left out; of rows sharing an id the
-    greatest text counts.
+    texts shorter than the window stay whole. Rows without an id are left out and each id and text is a
+    document of its own, or with ``every_row`` each row, those without an id after all others.
     """
-    scratch = Scratch(prepare(docs.sparkSession), "repeats")
+    prepare(docs.sparkSession)
+    return by_row(docs, lambda rows: _cut(rows, window, gram, block), "doc_id", every_row=every_row)
+
+
+def _cut(docs: DataFrame, window: int, gram: int, block: int) -> DataFrame:
+    """The same where the doc_id tells rows apart."""
+    scratch = Scratch(docs.sparkSession, "repeats")
     runs = (
         repeated_runs(docs, scratch, window, gram, block)
         .groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
@@ -305,14 +311,14 @@ def remove_repeats(
                 ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.binary()),
             ]))
 
-    return one_per_id(docs).join(stored.hint("merge"), "doc_id", "left").mapInArrow(
+    return texts(docs).join(stored.hint("merge"), "doc_id", "left").mapInArrow(
         cut, "doc_id bigint, n_bytes bigint, spans array<struct<start: int, end: int>>, kept binary"
     )
 
 
 def op2_suffix_dedup(spark, sf_dir):
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, span: n + span["end"] - span["start"])
-    return remove_repeats(documents(spark, sf_dir)).select(
+    return remove_repeats(documents(spark, sf_dir), every_row=True).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )

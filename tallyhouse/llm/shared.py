@@ -1,13 +1,16 @@
-"""What the text operators share: session settings, intermediate tables, one row per document id."""
+"""What the text operators share: session settings, intermediate tables, rows told apart."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+OWNER = "_owner"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings: skewed joins are split, Arrow batches stay small for long texts, and the shuffle
@@ -63,11 +66,42 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def one_per_id(docs: DataFrame) -> DataFrame:
-    """(doc_id, text), one row per id. Rows without an id are left out, as nothing can refer to them; of
-    several rows with one id the greatest text stands for the document."""
+def repeated_ids(docs: DataFrame) -> bool:
+    """Whether some rows share a doc_id."""
+    return not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def one_per_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), one row per id and text. Rows without an id are left out."""
     rows = texts(docs).filter(F.col("doc_id").isNotNull())
-    repeated = rows.groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return rows
-    return rows.groupBy("doc_id").agg(F.max("text").alias("text"))
+    return rows.distinct() if repeated_ids(rows) else rows
+
+
+def numbered(docs: DataFrame, nulls_first: bool = False) -> DataFrame | None:
+    """The rows with a number of their own in place of the doc_id, which is OWNER then; None where the ids
+    tell all rows apart. The numbers grow with the ids; rows without an id come last, or first."""
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return None
+    by_id = F.asc_nulls_first(OWNER) if nulls_first else F.asc_nulls_last(OWNER)
+    # the last column splits a row that the table holds very often
+    order = [by_id, F.xxhash64("text"), F.xxhash64(*docs.columns), F.col("_at")]
+    rows = docs.select(*docs.columns, F.col("doc_id").alias(OWNER), F.monotonically_increasing_id().alias("_at"))
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return Scratch(docs.sparkSession, "rows").store(
+        placed.drop("_at").withColumn("doc_id", F.monotonically_increasing_id()), "rows"
+    )
+
+
+def by_row(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], *names: str, every_row: bool = False) -> DataFrame:
+    """``judge`` over rows whose doc_id tells them apart; its columns ``names`` become ids again. Each id and
+    text is one row, and rows without an id are left out, unless ``every_row`` counts as one of its own."""
+    docs = texts(docs) if every_row else one_per_text(docs)
+    rows = numbered(docs)
+    if rows is None:
+        return judge(docs)
+    found = judge(rows)
+    columns = found.columns
+    for name in names:
+        owners = rows.select(F.col("doc_id").alias(name), F.col(OWNER).alias("_id"))
+        found = found.join(owners.hint("merge"), name).drop(name).withColumnRenamed("_id", name)
+    return found.select(columns)

@@ -79,6 +79,55 @@ def test_line_dedup(spark, awkward, empty):
     assert line_dedup.apply_bitmaps(empty, line_dedup.keep_bitmaps(empty)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def unnamed(spark, tmp_path_factory):
+    """A folder whose documents include rows without an id, repeated rows and ids with several texts."""
+    folder = str(tmp_path_factory.mktemp("unnamed"))
+    passage = "one passage of the benchmark that nobody should learn by heart at all"
+    table(spark, [
+        (1, "some own words here that no other row of the table has", "en"), (2, passage, "en"), (2, "zzz last of its id", "en"),
+        (3, "copied text with quite a few words in it today", "en"), (3, "copied text with quite a few words in it today", "en"),
+        (None, "copied text with quite a few words in it today", "en"), (None, f"x {passage} y", "en"),
+        (None, "a row without an id stays where nothing speaks against it", "en"),
+        (4, "some own words here that no other row of the table has", "en"), (4, "yet another text under the id four of this table", "en"),
+    ]).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_rows_without_their_own_id_equal_sql(spark, unnamed):
+    twin = twin_tables("/nowhere")
+    for name in ("documents", "benchmark"):
+        twin.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{unnamed}/{name}.parquet/*.parquet')")
+    for name in ("op5_exact_dedup", "op6_decontaminate"):
+        assert difference(QUERIES[name](spark, unnamed), twin, name) is None
+
+
+def test_every_row_is_read(spark, unnamed):
+    for name in ("op2_suffix_dedup", "op7_ngram_join", "op10_line_dedup"):
+        got = sorted((r["doc_id"] or 0 for r in QUERIES[name](spark, unnamed).collect()))
+        assert got == [0, 0, 0, 1, 2, 2, 3, 3, 4, 4], name
+    linked = {(r["doc_id"], r["component_id"]) for r in QUERIES["op7_ngram_join"](spark, unnamed).collect()}
+    assert {(4, 1), (3, 3), (None, 3)} <= linked
+    dropped = sorted((r["doc_id"] or 0, r["n_dropped"]) for r in QUERIES["op10_line_dedup"](spark, unnamed).collect())
+    assert dropped == [(0, 0), (0, 0), (0, 0), (1, 0), (2, 0), (2, 0), (3, 0), (3, 0), (4, 0), (4, 1)]
+
+
+def test_every_row_meets_its_own_decision(spark, unnamed):
+    docs = spark.read.parquet(f"{unnamed}/documents.parquet")
+    names = {"exact_duplicates": 7, "near_duplicates": 6, "benchmark_items": 8}
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        left[name] = [(r["doc_id"], r["text"]) for r in stage(spark, docs, unnamed).collect()]
+        assert all(row in {(r["doc_id"], r["text"]) for r in docs.collect()} for row in left[name])
+    assert [i for i, t in left["exact_duplicates"] if t.startswith("copied")] == [3]
+    assert [i for i, t in left["exact_duplicates"] if t.startswith("some own")] == [4]
+    assert [i for i, t in left["near_duplicates"] if t.startswith("some own")] == [1]
+    assert [i for i, t in left["near_duplicates"] if t.startswith("copied")] == [3]
+    assert not [t for _, t in left["benchmark_items"] if "passage" in t]
+    assert (2, "zzz last of its id") in left["benchmark_items"] and {k: len(v) for k, v in left.items()} == names
+
+
 # --- tokens ---
 
 
