@@ -1,4 +1,4 @@
-"""Orders with their items as a nested list."""
+"""Orders with their items, one row per item or as a nested list."""
 
 from __future__ import annotations
 
@@ -8,18 +8,44 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import address
 from tallyhouse.operators.skew import hot_keys
 
-ITEMS_PER_ROW = 10_000
 ITEM_FIELDS = ("id", "product_id", "product_name", "product_sku", "quantity", "unit_price", "total_price")
 
 
-def nest_items(items: DataFrame, items_per_row: int = ITEMS_PER_ROW) -> DataFrame:
-    """(order_id, part, items): one row per order, more where an order has very many items.
+def order_lines(
+    orders: DataFrame, items: DataFrame, keys: DataFrame | None = None, by: str = "id"
+) -> DataFrame:
+    """Orders with the columns of one item a row (``item_id`` and so on, null for an order without items),
+    for all orders or for a table of keys.
+
+    Items are joined as an inner join, whose hot orders Spark can split, and the orders without any follow.
+    """
+    if keys is not None:
+        orders = orders.join(keys.select(by).distinct(), by, "left_semi")
+    owned = items.where(F.col("order_id").isNotNull())
+    lines = owned.select("order_id", *(F.col(field).alias(f"item_{field}") for field in ITEM_FIELDS))
+    listed = orders.join(lines, F.col("id") == F.col("order_id")).drop("order_id")
+    bare = orders.join(owned.select(F.col("order_id").alias("id")).distinct(), "id", "left_anti")
+    return listed.unionByName(bare, allowMissingColumns=True)
+
 
-    A list is held in memory as one value, so an order above ``items_per_row`` items is spread by
-    the hash of the item id over as many parts as keep the lists near that length. Nothing is cut.
-    Rows are shuffled as they are: a list gathered ahead of the shuffle would be no smaller.
+def user_order_lines(orders: DataFrame, items: DataFrame, user: object | None = None) -> DataFrame:
+    """A user's orders, one row per item, newest first; without ``user`` every user's, grouped by user."""
+    if user is not None:
+        orders = orders.where(F.col("user_id") == user)
+    order = newest_first("item_id") if user is not None else [F.asc("user_id"), *newest_first("item_id")]
+    return order_lines(orders, items).orderBy(*order)
+
+
+def nest_items(items: DataFrame, items_per_row: int | None = None) -> DataFrame:
+    """(order_id, part, items): one row per order, whatever its size, with ``part`` 0.
+
+    A list is held in memory as one value. With ``items_per_row`` an order above that many items is spread by
+    the hash of the item id over as many parts as keep the lists near that length; ``order_lines`` has no
+    lists at all. Nothing is cut but items without an order id. Rows are shuffled as they are: a list
+    gathered ahead of the shuffle would be no smaller.
     """
-    long_orders = hot_keys(items, "order_id", items_per_row)
+    items = items.where(F.col("order_id").isNotNull())
+    long_orders = hot_keys(items, "order_id", items_per_row) if items_per_row is not None else None
     listed = F.sort_array(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items")
     if long_orders is None:
         nested = items.repartition("order_id").groupBy("order_id").agg(listed)
@@ -32,7 +58,7 @@ def nest_items(items: DataFrame, items_per_row: int = ITEMS_PER_ROW) -> DataFram
 
 def orders_with_items(
     orders: DataFrame, items: DataFrame, keys: DataFrame | None = None, by: str = "id",
-    items_per_row: int = ITEMS_PER_ROW,
+    items_per_row: int | None = None,
 ) -> DataFrame:
     """Orders with their item list (empty without items), for all orders or for a table of keys."""
     if keys is not None:
@@ -50,7 +76,7 @@ def newest_first(*extra: str) -> list[Column]:
 
 
 def user_orders_with_items(
-    orders: DataFrame, items: DataFrame, user: object | None = None, items_per_row: int = ITEMS_PER_ROW
+    orders: DataFrame, items: DataFrame, user: object | None = None, items_per_row: int | None = None
 ) -> DataFrame:
     """A user's orders with items, newest first; without ``user`` every user's, grouped by user."""
     if user is not None:
@@ -60,24 +86,30 @@ def user_orders_with_items(
     return orders_with_items(orders, items, items_per_row=items_per_row).orderBy(*order)
 
 
-def order_response(orders: DataFrame, items: DataFrame, items_per_row: int = ITEMS_PER_ROW) -> DataFrame:
-    """The full order: parsed addresses, nested items, number of lines and summed quantity.
+def order_response(orders: DataFrame, items: DataFrame, items_per_row: int | None = None) -> DataFrame:
+    """The full order, one row: parsed addresses, nested items, number of lines and summed quantity.
 
-    Both totals cover the whole order, also where its list is spread over several parts.
+    With ``items_per_row`` a longer list is spread over several parts; both totals cover the whole order.
     """
-    totals = items.groupBy(F.col("order_id").alias("id")).agg(
-        F.count("*").alias("total_items"), F.sum("quantity").alias("total_quantity")
-    )
-    return (
-        orders_with_items(orders, items, items_per_row=items_per_row)
-        .join(totals, "id", "left")
-        .select(
-            "id", "order_number", "user_id", "status", "total_amount",
-            address.parse(F.col("shipping_address")).alias("shipping_address"),
-            address.parse(F.col("billing_address")).alias("billing_address"),
-            "part", "items",
-            F.coalesce("total_items", F.lit(0)).alias("total_items"),
-            F.coalesce("total_quantity", F.lit(0)).alias("total_quantity"),
-            "created_at", "updated_at",
+    nested = orders_with_items(orders, items, items_per_row=items_per_row)
+    if items_per_row is None:
+        whole = nested.withColumns({
+            "total_items": F.size("items").cast("bigint"),
+            "total_quantity": F.aggregate(
+                "items", F.lit(0).cast("bigint"), lambda n, item: n + F.coalesce(item["quantity"], F.lit(0))
+            ),
+        })
+    else:
+        totals = items.where(F.col("order_id").isNotNull()).groupBy(F.col("order_id").alias("id")).agg(
+            F.count("*").alias("total_items"), F.sum("quantity").alias("total_quantity")
         )
+        whole = nested.join(totals, "id", "left")
+    return whole.select(
+        "id", "order_number", "user_id", "status", "total_amount",
+        address.parse(F.col("shipping_address")).alias("shipping_address"),
+        address.parse(F.col("billing_address")).alias("billing_address"),
+        "part", "items",
+        F.coalesce("total_items", F.lit(0)).alias("total_items"),
+        F.coalesce("total_quantity", F.lit(0)).alias("total_quantity"),
+        "created_at", "updated_at",
     )

@@ -43,12 +43,7 @@ def _event_ids(shop: Shop) -> DataFrame:
     return shop.events.select((F.col("event_id") * 2).alias("id"))
 
 
-def _flat_items(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per nested item; orders with an empty list keep one row."""
-    item = F.explode_outer("items").alias("item")
-    fields = ("id", "product_id", "product_name", "product_sku", "quantity", "unit_price", "total_price")
-    return df.select("*", item).select(*keep, *(F.col(f"item.{f}").alias(f"item_{f}") for f in fields))
-
+LINE = tuple(f"item_{field}" for field in nesting.ITEM_FIELDS)
 
 NESTED_ITEM = """i.id AS item_id, i.product_id AS item_product_id, i.product_name AS item_product_name,
     i.product_sku AS item_product_sku, cast(i.quantity AS bigint) AS item_quantity,
@@ -80,13 +75,11 @@ QUERIES: dict[str, Registered] = {
     ),
     # orders with items
     "orders_with_items": Registered(
-        lambda s: _flat_items(nesting.orders_with_items(s.orders, s.items), *KEPT),
+        lambda s: nesting.order_lines(s.orders, s.items).select(*KEPT, *LINE),
         with_sql(f"SELECT {NESTED_ORDER}, {NESTED_ITEM} FROM o LEFT JOIN i ON o.id = i.order_id", "o", "i"),
     ),
     "orders_with_items_by_number": Registered(
-        lambda s: _flat_items(
-            nesting.orders_with_items(s.orders, s.items, _event_numbers(s), "order_number"), *KEPT
-        ),
+        lambda s: nesting.order_lines(s.orders, s.items, _event_numbers(s), "order_number").select(*KEPT, *LINE),
         with_sql(
             f"""SELECT {NESTED_ORDER}, {NESTED_ITEM} FROM o LEFT JOIN i ON o.id = i.order_id
                 WHERE o.order_number IN ({EVENT_NUMBERS})""",
@@ -94,7 +87,7 @@ QUERIES: dict[str, Registered] = {
         ),
     ),
     "user_orders_with_items": Registered(
-        lambda s: _flat_items(nesting.user_orders_with_items(s.orders, s.items), "user_id", "id", "created_at"),
+        lambda s: nesting.user_order_lines(s.orders, s.items).select("user_id", "id", "created_at", *LINE),
         with_sql(
             f"SELECT o.user_id, o.id, o.created_at, {NESTED_ITEM} FROM o LEFT JOIN i ON o.id = i.order_id",
             "o", "i",

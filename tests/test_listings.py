@@ -100,6 +100,15 @@ def test_long_order_is_spread_and_kept_whole(orders, make_items):
     assert max(len(r["items"]) for r in parts) < 100
 
 
+def test_response_is_one_row_at_every_size(orders, make_items):
+    items = make_items(*((str(n), "a" if n < 10_100 else None, "p", "P", 1, "1.00") for n in range(10_110)))
+    (long,) = nesting.order_response(orders, items).where("id = 'a'").collect()
+    assert (long["part"], len(long["items"]), long["total_items"], long["total_quantity"]) == (0, 10_100, 10_100, 10_100)
+    lines = nesting.order_lines(orders, items)
+    assert lines.where("id = 'a'").count() == 10_100 and lines.where("item_id IS NULL").count() == orders.count() - 1
+    assert [r["item_id"] for r in nesting.user_order_lines(orders, items.limit(0)).collect()] == [None] * orders.count()
+
+
 def test_item_listings(orders, make_items, spark):
     items = make_items(
         ("1", "a", "p", "B", 2, "5.00"), ("2", "a", "q", "A", 9, "1.00"), ("3", "e", "p", "B", 4, "5.00"),
