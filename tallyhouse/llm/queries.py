@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyhouse.llm import bpe, decontaminate, exact_dedup, lang_id, licences, line_dedup, ngram_join, pii, repeats, token_counts
+from tallyhouse.llm import (
+    bpe, decontaminate, exact_dedup, lang_id, licences, line_dedup, ngram_join, pii, repeats, token_counts, vector_codes,
+)
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +19,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_licences": licences.op9_licences,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
 }
 
 SQL = {
@@ -24,4 +27,5 @@ SQL = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
 }
