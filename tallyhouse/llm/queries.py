@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tallyhouse.llm import (
-    bpe, decontaminate, exact_dedup, lang_id, licences, line_dedup, ngram_join, pii, repeats, token_counts, vector_codes,
-    warc,
+    bpe, decontaminate, exact_dedup, lang_id, licences, line_dedup, ngram_join, pii, prefix_trie, repeats, token_counts,
+    vector_codes, warc,
 )
 
 QUERIES = {
@@ -21,6 +21,7 @@ QUERIES = {
     "op9_licences": licences.op9_licences,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_warc": warc.op13_warc,
 }
 
@@ -30,5 +31,6 @@ SQL = {
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
     "op13_warc": warc.OP13_SQL,
 }
