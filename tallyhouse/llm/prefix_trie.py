@@ -418,7 +418,7 @@ def trie(paths: DataFrame, shard_turns: int = SHARD_TURNS, fan_in: int = FAN_IN)
         spines = out[-1].filter("spine IS NOT NULL").select("spine.*")
         last = spines.agg(F.max("shard")).first()[0]
         if last is None:
-            break
+            return out[0].select("node.*")
         top = last < fan_in
         level += 1
 

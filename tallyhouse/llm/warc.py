@@ -43,8 +43,8 @@ FLUSH = 8 << 20
 VISIBLE = "".join(map(chr, range(33, 127)))
 
 
-def digest(data: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()
+def digest(data: bytes, algorithm: str = "sha1") -> str:
+    return base64.b32encode(hashlib.new(algorithm, data, usedforsecurity=False).digest()).decode()
 
 
 # --- writing ---
@@ -189,10 +189,17 @@ def _length(fields: dict[str, str], limit: int) -> int:
 
 
 def _checked(fields: dict[str, str], block: bytes, start: int, end: int) -> Found:
-    """The record with its digests checked. The payload of an HTTP response is what follows its header."""
-
-    def bare(name: str) -> str | None:
-        return fields[name].removeprefix("sha1:") if fields.get(name, "").startswith("sha1:") else None
+    """The record with its digests checked, which an unknown algorithm fails. The payload of an HTTP response
+    is what follows its header."""
+
+    def check(name: str, data: bytes) -> None:
+        if name in fields:
+            label, _, told = fields[name].partition(":")
+            if label.lower() not in ("sha1", "sha256", "md5"):
+                raise Damaged("digest unreadable")
+            want = digest(data, label.lower())
+            if told.upper() not in (want, want.rstrip("="), base64.b32decode(want).hex().upper()):
+                raise Damaged(f"{name.split('-')[1]} digest differs")
 
     def inner(name: str) -> str | None:
         return fields[name].removeprefix("<").removesuffix(">") if name in fields else None
@@ -200,8 +207,7 @@ def _checked(fields: dict[str, str], block: bytes, start: int, end: int) -> Foun
     kind = fields.get("warc-type")
     if not kind or "warc-record-id" not in fields:
         raise Damaged("no record type or id")
-    if (want := bare("warc-block-digest")) and digest(block) != want:
-        raise Damaged("block digest differs")
+    check("warc-block-digest", block)
     payload, size = block, len(block)
     if fields.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
         head, blank, payload = block.partition(END)
@@ -209,9 +215,9 @@ def _checked(fields: dict[str, str], block: bytes, start: int, end: int) -> Foun
             raise Damaged("HTTP header not ended")
         told = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", head)
         size = int(told[1]) if told and kind == "revisit" else len(payload)
-    own = bare("warc-payload-digest")
-    if own and kind != "revisit" and digest(payload) != own:
-        raise Damaged("payload digest differs")
+    if kind != "revisit":
+        check("warc-payload-digest", payload)
+    own = fields.get("warc-payload-digest", "").partition(":")[2] or None
     return Found(
         start, end, None, kind, inner("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"),
         inner("warc-refers-to"), own, size, None if kind == "revisit" else payload,
