@@ -1,125 +1,137 @@
 """Replay of status events.
 
-``events`` holds order_id, event_id, ts and to_status; the order of an order's events is (ts,
-event_id). An event that asks for a move the present state does not allow is rejected and leaves the
+``events`` holds order_id, event_id, ts and to_status; the order of an order's events is (ts, event_id,
+to_status). An event that asks for a move the present state does not allow is rejected and leaves the
 state as it is, so it never becomes the predecessor of the next one.
 
-The allowed moves contain no cycle, so an order accepts only a handful of events however many arrive.
-That short chain of accepted events decides the state every other event met.
+An event is a map from states to states, and maps compose: (g after f) after e = g after (f after e). So
+the table is sorted by order and time and cut into ranges wherever the ranges of the sort happen to end,
+also inside an order, and every range composes the maps of its events on its own. It knows the state an
+order starts with; for the one order that may have started in an earlier range it follows all states at
+once. What no state at the start of a range leads to is rejected for good. Of a range a few events per
+order are left, since the allowed moves contain no cycle; folded in order, they are the chain of accepted
+events, which tells every event the state it met.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import status as st
-from tallyhouse.operators.skew import hot_keys
-
-EVENTS_PER_ROW = 10_000
 
+KEY = ("ts", "event_id", "to_status")
 
-def _entry(ts: Column, event_id: Column, status: Column) -> Column:
-    return F.named_struct(F.lit("ts"), ts, F.lit("event_id"), event_id, F.lit("status"), status)
 
+def move_table(enforce_final: bool = False) -> np.ndarray:
+    """[asked][state] is the state after an event; the last row is an event that asks for none of them."""
+    table = np.tile(np.arange(len(st.STORED), dtype=np.uint8), (len(st.STORED) + 1, 1))
+    for state, targets in st.moves(enforce_final).items():
+        for target in targets:
+            table[st.STORED.index(target), st.STORED.index(state)] = st.STORED.index(target)
+    return table
 
-def _no_entries(events: DataFrame) -> Column:
-    sample = events.select(F.array(_entry(F.col("ts"), F.col("event_id"), F.col("to_status"))).alias("chain"))
-    return F.array().cast(sample.schema["chain"].dataType)
 
+def composed(maps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``maps`` (events x states) composed from the first event of each run up to every event.
 
-def _judged(rows: DataFrame, initial: str, enforce_final: bool) -> DataFrame:
-    """Give each event the state it met, looked up in the chain of its order."""
-
-    def earlier(entry: Column) -> Column:
-        return (entry["ts"] < F.col("ts")) | (
-            (entry["ts"] == F.col("ts")) & (entry["event_id"] < F.col("event_id"))
-        )
-
-    met = F.try_element_at(F.filter("chain", earlier), F.lit(-1))
-    return rows.withColumn("from_status", F.coalesce(met["status"], F.lit(initial))).select(
-        "order_id", "event_id", "ts", "from_status", "to_status",
-        st.is_move(F.col("from_status"), F.col("to_status"), enforce_final).alias("accepted"),
-    )
-
-
-def _short_histories(events: DataFrame, initial: str, enforce_final: bool) -> DataFrame:
-    """One fold over the sorted events of each order finds its chain."""
-
-    def step(acc: Column, event: Column) -> Column:
-        accepted = st.is_move(acc["state"], event["to_status"], enforce_final)
-        taken = F.array(_entry(event["ts"], event["event_id"], event["to_status"]))
-        return F.named_struct(
-            F.lit("state"), F.when(accepted, event["to_status"]).otherwise(acc["state"]),
-            F.lit("chain"), F.when(accepted, F.concat(acc["chain"], taken)).otherwise(acc["chain"]),
-        )
-
-    start = F.struct(F.lit(initial).alias("state"), _no_entries(events).alias("chain"))
-    gathered = events.groupBy("order_id").agg(
-        F.sort_array(F.collect_list(F.struct("ts", "event_id", "to_status"))).alias("events")
-    )
-    chain = F.aggregate("events", start, step, lambda acc: acc["chain"])
-    folded = gathered.select("order_id", "events", chain.alias("chain"))  # once per order, so ahead of explode
-    rows = folded.select("order_id", "chain", F.explode("events").alias("event"))
-    return _judged(rows.select("order_id", "chain", "event.*"), initial, enforce_final)
-
-
-def _long_histories(
-    events: DataFrame, long_orders: DataFrame, initial: str, enforce_final: bool
-) -> DataFrame:
-    """The chain grown one accepted event at a time: each is the earliest event after the last one
-    that the state allows, a minimum that combines before the shuffle. No order's events meet in one
-    task, and the number of steps is the longest path through the states.
-
-    The steps are stated in one SQL text, since Spark would otherwise analyse a plan that grows with
-    every step again and again.
+    ``first`` is the place of each event's run start. The stretch covered doubles with every step.
     """
-    moves = " OR ".join(
-        f"(state = '{state}' AND to_status IN ({', '.join(repr(target) for target in targets)}))"
-        for state, targets in st.moves(enforce_final).items()
-    )
-    entry = "named_struct('ts', e.ts, 'event_id', e.event_id, 'status', e.to_status)"
-    steps = ["s0 AS (SELECT order_id, :initial AS state, NULL AS taken, array() AS chain FROM {long_orders})"]
-    for n in range(st.longest_path()):
-        later = "taken IS NULL OR e.ts > taken.ts OR (e.ts = taken.ts AND e.event_id > taken.event_id)" if n else "true"
-        so_far = "chain" if n else "array()"
-        steps.append(
-            f"""f{n} AS (
-              SELECT e.order_id, any_value(state) AS state, any_value({so_far}) AS chain,
-                     min({entry}) FILTER (WHERE ({later}) AND ({moves})) AS taken
-              FROM {{events}} AS e JOIN s{n} ON e.order_id = s{n}.order_id GROUP BY e.order_id),
-            s{n + 1} AS (
-              SELECT order_id, coalesce(taken.status, state) AS state, taken,
-                     CASE WHEN taken IS NULL THEN chain ELSE concat(chain, array(taken)) END AS chain
-              FROM f{n})"""
-        )
-    last = f"s{st.longest_path()}"
-    rows = events.sparkSession.sql(
-        f"""WITH {", ".join(steps)}
-            SELECT e.order_id, e.event_id, e.ts, e.to_status, chain
-            FROM {{events}} AS e JOIN {last} ON e.order_id = {last}.order_id""",
-        args={"initial": initial}, events=events, long_orders=long_orders,
-    )
-    return _judged(rows, initial, enforce_final)
+    place, reach = np.arange(len(maps)), 1
+    while len(maps) and reach <= int((place - first).max()):
+        later = np.flatnonzero(place - reach >= first)
+        maps[later] = np.take_along_axis(maps[later], maps[later - reach], axis=1)
+        reach *= 2
+    return maps
+
+
+def _candidates(initial: str, enforce_final: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Filter for a sorted range of (order_id, ts, event_id, to_status): the events that some state at the
+    start of the range leads to. Batches follow each other; only the composed map of the last order is kept."""
+    table = move_table(enforce_final)
+    states = np.arange(len(st.STORED), dtype=np.uint8)
+    start = st.STORED.index(initial)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, carried, begun_here = None, states, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            orders = batch.column(0)
+            asked = pc.fill_null(pc.index_in(batch.column(3), pa.array(st.STORED)), len(st.STORED)).to_numpy(zero_copy_only=False)
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = pc.not_equal(orders[1:], orders[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = before is None or orders[0].as_py() != before
+            run_of = np.cumsum(new | (np.arange(len(new)) == 0)) - 1
+            heads = np.flatnonzero(np.diff(run_of, prepend=-1))
+            first = heads[run_of]
+            after = composed(table[asked], first)
+            if not new[0]:
+                own = run_of == 0
+                after[own] = np.take_along_axis(after[own], np.broadcast_to(carried, (int(own.sum()), len(states))), axis=1)
+            met = np.empty_like(after)
+            met[1:] = after[:-1]
+            met[heads] = states
+            if not new[0]:
+                met[0] = carried
+            moves = np.take_along_axis(table[asked], met, axis=1) != met
+            # the order a range begins with may have begun before it; the others begin with the initial state
+            begins = (run_of > 0) | begun_here | bool(new[0] and before is not None)
+            kept = np.where(begins, moves[:, start], moves.any(axis=1))
+            begun_here, before, carried = bool(begins[-1]), orders[len(orders) - 1].as_py(), after[-1]
+            yield batch.filter(pa.array(kept))
+
+    return run
+
+
+def _chains(events: DataFrame, initial: str, enforce_final: bool, ranges: int | None) -> DataFrame:
+    """(order_id, chain): the accepted events of every order that has one, in order."""
+    order = ["order_id", *KEY]
+    cut = events.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in events.schema.fields)
+    left = cut.mapInArrow(_candidates(initial, enforce_final), schema)
+
+    def step(chain: Column, event: Column) -> Column:
+        state = F.coalesce(F.try_element_at(chain, F.lit(-1))["to_status"], F.lit(initial))
+        return F.when(
+            st.is_move(state, event["to_status"], enforce_final), F.concat(chain, F.array(event))
+        ).otherwise(chain)
+
+    gathered = left.groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct(*KEY))).alias("left"))
+    nothing = F.array().cast(gathered.schema["left"].dataType)
+    return gathered.select("order_id", F.aggregate("left", nothing, step).alias("chain"))
 
 
 def status_history(
-    events: DataFrame, initial: str = "PENDING", enforce_final: bool = False, events_per_row: int = EVENTS_PER_ROW
+    events: DataFrame, initial: str = "PENDING", enforce_final: bool = False, ranges: int | None = None
 ) -> DataFrame:
-    """Every event with the state it met and whether it was accepted.
+    """Every event with the state it met and whether it was accepted. ``ranges`` is the number of ranges the
+    sorted table is cut into, by default that of Spark's shuffles; the result does not depend on it.
 
-    ``enforce_final`` refuses every change of a delivered order, its return included. An order with
-    more than ``events_per_row`` events is replayed without gathering them.
+    ``enforce_final`` refuses every change of a delivered order, its return included. Events that are equal
+    in all columns are one event, and share its judgement. An event without an order, a time or an id of its
+    own has no place in a history: it is rejected, and has met no state.
     """
-    events = events.select("order_id", "event_id", "ts", "to_status")
-    long_orders = hot_keys(events, "order_id", events_per_row)
-    if long_orders is None:
-        return _short_histories(events, initial, enforce_final)
-    long_orders = long_orders.select("order_id")
-    short = _short_histories(events.join(long_orders, "order_id", "left_anti"), initial, enforce_final)
-    long_events = events.join(long_orders, "order_id", "left_semi")
-    long = _long_histories(long_events, long_orders, initial, enforce_final)
-    return short.unionByName(long)
+    events = events.select("order_id", *KEY)
+    placed = F.col("order_id").isNotNull() & F.col("ts").isNotNull() & F.col("event_id").isNotNull()
+    chains = _chains(events.where(placed), initial, enforce_final, ranges).withColumnRenamed("order_id", "of")
+
+    def earlier(entry: Column) -> Column:
+        return entry < F.struct(*KEY)
+
+    met = F.try_element_at(F.filter("chain", earlier), F.lit(-1))["to_status"]
+    judged = events.join(chains, F.col("order_id") == F.col("of"), "left")
+    return judged.select(
+        "order_id", "event_id", "ts", F.when(placed, F.coalesce(met, F.lit(initial))).alias("from_status"), "to_status",
+    ).select(
+        "order_id", "event_id", "ts", "from_status", "to_status",
+        st.is_move(F.col("from_status"), F.col("to_status"), enforce_final).alias("accepted"),
+    )
 
 
 def status_changes(history: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyhouse.functions import address, money
 from tallyhouse.schema import MONEY
@@ -34,6 +35,8 @@ NOT_PRICEABLE = "TOTAL_NOT_PRICEABLE"
 NO_TIME = "REQUEST_TIME_MISSING"
 NO_TIME_TEXT = "The request has no time, so it cannot get an order number"
 
+ORDERS_PER_RANGE = 10_000
+
 
 def explode_requests(requests: DataFrame) -> DataFrame:
     """Lines of requests that carry their items as an array."""
@@ -196,14 +199,58 @@ def create_orders(
     return Created(orders, items, rejects.unionByName(unnumbered))
 
 
+def _id_ranges(stamped: DataFrame) -> DataFrame:
+    """(_ms, _shares, _low, _high, _prefix) of the milliseconds with more than ORDERS_PER_RANGE orders: the
+    number of ranges their ids are cut into, and the smallest and largest id as whole numbers.
+
+    The place of a string counts by the bytes that follow what the smallest and the largest id begin with.
+    """
+    per_ms = stamped.where(F.col("_ms").isNotNull()).groupBy("_ms").agg(
+        F.count("*").alias("_n"), F.min("id").alias("_first"), F.max("id").alias("_last")
+    )
+    wide = per_ms.where(F.col("_n") > ORDERS_PER_RANGE)
+    shares = F.ceil(F.col("_n") / F.lit(ORDERS_PER_RANGE)).cast("bigint").alias("_shares")
+    if not isinstance(stamped.schema["id"].dataType, T.StringType):
+        return wide.select("_ms", shares, _place("_first", None).alias("_low"), _place("_last", None).alias("_high"))
+    lengths = F.sequence(F.lit(1), F.greatest(F.least(F.octet_length("_first"), F.octet_length("_last")), F.lit(1)))
+    first, last = F.col("_first").cast("binary"), F.col("_last").cast("binary")
+    same = F.filter(lengths, lambda n: F.substring(first, F.lit(1), n) == F.substring(last, F.lit(1), n))
+    return wide.withColumn("_prefix", F.coalesce(F.array_max(same), F.lit(0))).select(
+        "_ms", shares, _place("_first", "_prefix").alias("_low"), _place("_last", "_prefix").alias("_high"), "_prefix"
+    )
+
+
+def _place(name: str, prefix: str | None) -> Column:
+    """An id as a whole number that grows with it: a number itself, or seven bytes of a string."""
+    if prefix is None:
+        return F.col(name).cast("decimal(20,0)")
+    digits = F.hex(F.substring(F.col(name).cast("binary"), F.col(prefix) + 1, F.lit(7)))
+    return F.conv(F.rpad(digits, 14, "0"), 16, 10).cast("decimal(20,0)")
+
+
 def assign_order_numbers(new: DataFrame, existing: DataFrame) -> DataFrame:
     """``order_number`` for every new order: prefix, epoch milliseconds, counter of at least four digits.
 
     Orders created in one millisecond take the counters after the highest one that an existing number of
     that millisecond uses, in the order of their ids; the counter grows beyond four digits where it has
     to. Without a time there is no number.
+
+    The ids of a millisecond with very many orders are cut into ranges of even width between the smallest
+    and the largest. Orders are ranked inside their range alone, and a range starts where the counts of the
+    ranges before it end, so only those counts meet per millisecond. Ids that crowd in one place share a range.
     """
     stamped = new.withColumn("_ms", F.unix_millis(F.col("created_at").cast("timestamp")))
+    ranges = _id_ranges(stamped)
+    distance = F.expr(
+        "cast((_place - _low) * cast(_shares AS decimal(18,0)) div (_high - _low + 1) AS bigint)"
+    )
+    placed = (
+        stamped.where(F.col("_ms").isNotNull())
+        .join(ranges, "_ms", "left")
+        .withColumn("_place", _place("id", "_prefix" if "_prefix" in ranges.columns else None))
+        .withColumn("_range", F.coalesce(distance, F.lit(0)))
+        .select(*new.columns, "_ms", "_range")
+    )
     pattern = rf"^{NUMBER_PREFIX}-(\d+)-(\d{{4,}})$"
     used = (
         existing.select(
@@ -214,11 +261,18 @@ def assign_order_numbers(new: DataFrame, existing: DataFrame) -> DataFrame:
         .join(stamped.select("_ms").distinct(), "_ms", "left_semi")
         .groupBy("_ms").agg(F.max("_counter").alias("_highest"))
     )
-    rank = F.row_number().over(Window.partitionBy("_ms").orderBy("id")).cast("bigint")
-    ranked = stamped.where(F.col("_ms").isNotNull()).withColumn("_rank", rank)
-    counter = (F.col("_rank") + F.coalesce("_highest", F.lit(0))).cast("string")
+    # one row per range: what the ranges before it count, after the numbers in use
+    before = Window.partitionBy("_ms").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy("_ms", "_range").agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .join(used, "_ms", "left")
+        .select("_ms", "_range", (F.col("_before") + F.coalesce("_highest", F.lit(0))).alias("_start"))
+    )
+    rank = F.row_number().over(Window.partitionBy("_ms", "_range").orderBy("id"))
+    ranked = placed.withColumn("_rank", rank.cast("bigint")).join(starts, ["_ms", "_range"])
+    counter = (F.col("_rank") + F.col("_start")).cast("string")
     padded = F.when(F.char_length(counter) < 4, F.lpad(counter, 4, "0")).otherwise(counter)
     number = F.concat(F.lit(f"{NUMBER_PREFIX}-"), F.col("_ms").cast("string"), F.lit("-"), padded)
-    numbered = ranked.join(used, "_ms", "left").select(*new.columns, number.alias("order_number"))
     timeless = stamped.where(F.col("_ms").isNull()).select(*new.columns, F.lit(None).cast("string").alias("order_number"))
-    return numbered.unionByName(timeless)
+    return ranked.select(*new.columns, number.alias("order_number")).unionByName(timeless)

@@ -322,7 +322,7 @@ QUERIES: dict[str, Registered] = {
         with_sql("SELECT order_id, event_id, ts, from_status, to_status, accepted FROM replay", "replay"),
     ),
     "status_history_long": Registered(
-        lambda s: history.status_history(s.events, events_per_row=60),
+        lambda s: history.status_history(s.events, ranges=64),
         with_sql("SELECT order_id, event_id, ts, from_status, to_status, accepted FROM replay", "replay"),
     ),
     "status_changes": Registered(

@@ -2,6 +2,7 @@ from datetime import timedelta
 from decimal import Decimal
 from random import Random
 
+import numpy as np
 import pytest
 from conftest import ADDRESS, at, rows
 from pyspark.sql import functions as F
@@ -21,6 +22,18 @@ HEADERS = T.StructType(
 PLACE = ("123 Main St", None, "New York", "NY", "10001", "USA")
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Sorted tables are cut into more ranges than there are orders, and nothing puts them together again."""
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # batches end inside orders too
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def make_requests(spark, **wanted):
     """Headers and lines from request=[(product, quantity), ...]."""
     requested = [(name, f"user-{name}", PLACE, PLACE, at("2024-01-01")) for name in wanted]
@@ -116,6 +129,39 @@ def test_a_millisecond_never_runs_out_of_numbers(spark):
     assert again.union(got).distinct().count() == 50_000
 
 
+@pytest.mark.parametrize("ids", [
+    [n * n - 5_000 for n in range(3_000)], [*range(-9, 10**18, 10**15), 2**63 - 1, -(2**63), None],
+    [f"order-{n:07d}" for n in range(3_000)], [f"{hash((n, 7)) % 2**64:016x}" for n in range(2_000)] + ["", "é", "zzzzzz" * 9, None],
+    ["a" * n for n in range(1_200)], ["same"] * 1_500,
+])
+def test_numbers_follow_the_ids_over_all_ranges(spark, monkeypatch, ids):
+    monkeypatch.setattr(requests, "ORDERS_PER_RANGE", 100)
+    kind = "string" if isinstance(ids[0], str) else "bigint"
+    rows_in = [(i, at("2024-01-01")) for i in ids] + [(i, at("2024-01-02")) for i in ids[:50]]
+    new = spark.createDataFrame(rows_in, f"id {kind}, created_at timestamp").repartition(4, "id")
+    used = spark.createDataFrame([("ORD-1704067200000-0007",)], "order_number string")
+    got = sorted(
+        requests.assign_order_numbers(new, used).select("created_at", "order_number", "id").collect(),
+        key=lambda r: (r[0], int(r[1].split("-")[2])),
+    )
+    def place(i):
+        return (i is not None, i.encode() if isinstance(i, str) else i)
+    assert [r["id"] for r in got[: len(ids)]] == sorted(ids, key=place)
+    assert [r["order_number"] for r in got[: len(ids)]] == [f"ORD-1704067200000-{n + 8:04d}" for n in range(len(ids))]
+    assert [r["id"] for r in got[len(ids):]] == sorted(ids[:50], key=place)
+
+
+def test_one_millisecond_is_ranked_in_many_tasks(spark, many_ranges):
+    new = spark.range(200_000).select(F.concat(F.lit("o"), F.lpad("id", 9, "0")).alias("id"), F.lit(at("2024-01-01")).alias("created_at"))
+    got = requests.assign_order_numbers(new, spark.createDataFrame([], "order_number string"))
+    wrong = got.where("order_number <> concat('ORD-1704067200000-', lpad(cast(cast(substr(id, 2) AS int) + 1 AS string), greatest(4, length(cast(cast(substr(id, 2) AS int) + 1 AS string))), '0'))")
+    assert wrong.count() == 0
+    stamped = new.withColumn("_ms", F.unix_millis("created_at"))
+    assert [r["_shares"] for r in requests._id_ranges(stamped).collect()] == [20]
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 5 and max(tasks) < 100_000
+
+
 def test_no_time_no_number(spark):
     new = spark.createDataFrame([("a", None), ("b", at("2024-01-01"))], "id string, created_at timestamp")
     got = rows(requests.assign_order_numbers(new, spark.createDataFrame([], "order_number string")), "id", "order_number")
@@ -195,13 +241,12 @@ def replayed(targets, state="PENDING"):
     return out
 
 
-@pytest.mark.parametrize("limit", [1, 5, 1_000])
-def test_rejected_events_do_not_become_predecessors(spark, limit):
+def test_rejected_events_do_not_become_predecessors(spark):
     events = make_events(
         spark, full=["CONFIRMED", "SHIPPED", "PROCESSING", "SHIPPED", "DELIVERED", "CONFIRMED", "RETURNED"],
         cancelled=["SHIPPED", "CONFIRMED", "CANCELLED", "PROCESSING"], stuck=["DELIVERED"] * 9,
     )
-    got = history.status_history(events, events_per_row=limit)
+    got = history.status_history(events)
     accepted = rows(got.where("accepted"), "order_id", "to_status")
     assert accepted == sorted(
         [("full", s) for s in ("CONFIRMED", "PROCESSING", "SHIPPED", "DELIVERED", "RETURNED")]
@@ -212,25 +257,66 @@ def test_rejected_events_do_not_become_predecessors(spark, limit):
     ]
 
 
-@pytest.mark.parametrize("limit", [1, 1_000])
-def test_delivered_orders_return_unless_final_states_are_enforced(spark, limit):
+def test_delivered_orders_return_unless_final_states_are_enforced(spark):
     events = make_events(spark, o=["CONFIRMED", "PROCESSING", "SHIPPED", "DELIVERED", "RETURNED"])
-    assert history.status_history(events, events_per_row=limit).where("accepted").count() == 5
-    strict = history.status_history(events, enforce_final=True, events_per_row=limit)
+    assert history.status_history(events).where("accepted").count() == 5
+    strict = history.status_history(events, enforce_final=True)
     assert rows(history.final_states(strict)) == [("o", "DELIVERED", 4, 1)]
 
 
-@pytest.mark.parametrize("limit", [1, 40, 1_000])
-def test_random_histories_against_a_plain_loop(spark, limit):
-    random = Random(11)
-    targets = ["CONFIRMED", "PROCESSING", "SHIPPED", "DELIVERED", "RETURNED", "REFUNDED", "PENDING"]
+def random_histories(random, sizes):
+    targets = ["CONFIRMED", "PROCESSING", "SHIPPED", "DELIVERED", "RETURNED", "REFUNDED", "PENDING", "CANCELLED", None, "?"]
     weights = [4, 3, 3, 2, 1, 1, 2]
-    histories = {f"o{n}": random.choices([*targets, "CANCELLED"], [*weights, n % 3 * 0.3], k=10 * n) for n in range(1, 12)}
-    got = history.status_history(make_events(spark, **histories), events_per_row=limit)
+    return {f"o{n}": random.choices(targets, [*weights, n % 3 * 0.1, 1, 1], k=size) for n, size in enumerate(sizes)}
+
+
+def test_random_histories_against_a_plain_loop(spark, many_ranges):
+    # the last order has two thirds of all events, so most ranges begin and end inside it
+    histories = random_histories(Random(11), [1, 0, 2, 3, 1, 40, 5, 9, 200, 1, 7, 600])
+    got = history.status_history(make_events(spark, **histories).repartition(5))
     want = [(order, *row) for order, asked in histories.items() for row in replayed(asked)]
     assert rows(got, "order_id", "event_id", "from_status", "to_status", "accepted") == sorted(want, key=repr)
 
 
+def test_a_chain_over_many_ranges(spark, many_ranges):
+    """Each accepted event lies in another range, among events that a wrong state would accept."""
+    noise = ["RETURNED", "SHIPPED", "DELIVERED"]
+    asked = noise * 60 + ["CONFIRMED"] + noise * 60 + ["PROCESSING"] + ["CONFIRMED", "DELIVERED"] * 80 + ["SHIPPED"] + ["PENDING"] * 99 + noise * 5
+    got = history.status_history(make_events(spark, o=asked, p=["CONFIRMED"]))
+    want = [(order, *row) for order, events in (("o", asked), ("p", ["CONFIRMED"])) for row in replayed(events)]
+    assert rows(got, "order_id", "event_id", "from_status", "to_status", "accepted") == sorted(want, key=repr)
+
+
+def test_one_order_does_not_meet_in_one_task(spark):
+    plan = history.status_history(make_events(spark, o=["CONFIRMED"]))._jdf.queryExecution().optimizedPlan().toString()
+    before, _, _ = plan.partition("MapInArrow")
+    assert "RepartitionByExpression" in plan.partition("MapInArrow")[2] and "collect_list" in before
+
+
+def test_composed_maps_equal_steps():
+    random = np.random.default_rng(5)
+    first = np.repeat([0, 1, 4, 5, 60], [1, 3, 1, 55, 40])
+    maps = random.integers(0, 8, (100, 8)).astype(np.uint8)
+    want = maps.copy()
+    for n in range(100):
+        if n > first[n]:
+            want[n] = maps[n][want[n - 1]]
+    assert (history.composed(maps.copy(), first) == want).all() and len(history.composed(maps[:0], first[:0])) == 0
+
+
+def test_events_without_a_place_are_rejected(spark):
+    first = at("2024-01-01")
+    events = spark.createDataFrame(
+        [("o", 1, None, "CONFIRMED"), ("o", 2, first, "PROCESSING"), ("o", 3, first, "CONFIRMED"), ("o", None, first, "CANCELLED"),
+         (None, 4, first, "CONFIRMED"), (None, 5, None, "CONFIRMED"), ("o", 3, first, "CONFIRMED"), ("o", 6, first, None)],
+        schema.STATUS_EVENTS,
+    )
+    assert rows(history.status_history(events), "order_id", "event_id", "from_status", "accepted") == sorted([
+        ("o", 1, None, False), ("o", 2, "PENDING", False), ("o", 3, "PENDING", True), ("o", 3, "PENDING", True),
+        ("o", None, None, False), (None, 4, None, False), (None, 5, None, False), ("o", 6, "CONFIRMED", False),
+    ], key=repr)
+
+
 def test_hot_keys_beyond_the_driver_limit_stay_a_table(spark, monkeypatch):
     table = spark.range(100).select((F.col("id") % 10).alias("k"))
     assert skew.hot_keys(table, "k", 10) is None
