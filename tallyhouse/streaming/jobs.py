@@ -3,74 +3,111 @@ into a table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import TimerValues
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tallyhouse.functions import status as st
 from tallyhouse.session import shared_folder
 
+SKETCH_BITS = 12
+CLOSING = "2200-01-01 00:00:00"  # pandas times end in 2262
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _StatusMachine(StatefulProcessor):
-    """Keeps one state per order."""
+    """Keeps the state of an order, and its events until the watermark has passed them.
+
+    Events wait in a map in the state store, one entry per millisecond, each with a timer. The timers of an
+    order go off in time order, so an event is judged after everything that comes before it, whatever the
+    order of arrival. A task holds one batch of arriving rows and the events of one millisecond.
+    """
 
     def __init__(self, initial: str, enforce_final: bool) -> None:
         self._initial = initial
         self._moves = st.moves(enforce_final)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._state = handle.getValueState("state", "status string")
+        self._waiting = handle.getMapState(
+            "waiting", "due bigint", "events array<struct<us: bigint, event_id: bigint, to_status: string>>"
+        )
 
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues
     ) -> Iterator[pd.DataFrame]:
-        columns = ["order_id", "event_id", "ts", "from_status", "to_status", "accepted"]
+        for batch in rows:
+            # the first whole millisecond that is not before the event
+            for due, arrived in batch.groupby(-(-batch["us"] // 1000)):
+                due = int(due)
+                events = [
+                    (int(us), int(event), target if isinstance(target, str) else None)
+                    for us, event, target in zip(arrived["us"], arrived["event_id"], arrived["to_status"])
+                ]
+                if self._waiting.containsKey((due,)):
+                    events = [tuple(event) for event in self._waiting.getValue((due,))[0]] + events
+                else:
+                    self._handle.registerTimer(due)
+                self._waiting.updateValue((due,), (events,))
+        yield from ()
+
+    def handleExpiredTimer(
+        self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[pd.DataFrame]:
+        due = (expiredTimerInfo.getExpiryTimeInMs(),)
+        events = sorted((tuple(e) for e in self._waiting.getValue(due)[0]), key=lambda e: (e[0], e[1], e[2] is not None, e[2] or ""))
+        self._waiting.removeKey(due)
         state = self._state.get()[0] if self._state.exists() else self._initial
-        if state not in self._moves:  # nothing leads out: no order among the events to find out
-            for batch in rows:
-                yield batch.assign(from_status=state, accepted=False)[columns]
-            return
-        events = pd.concat(rows, ignore_index=True).sort_values(["ts", "event_id"])
-        met, accepted = [], []
-        for target in events["to_status"]:
-            met.append(state)
-            accepted.append(target in self._moves.get(state, ()))
-            state = target if accepted[-1] else state
-        self._state.update((state,))
-        yield events.assign(from_status=met, accepted=accepted)[columns]
-
-
-def stream_status_machine(events: DataFrame, initial: str = "PENDING", enforce_final: bool = False) -> DataFrame:
+        begun_with, out = state, []
+        for n, (us, event_id, target) in enumerate(events):
+            if n and events[n - 1] == events[n]:
+                out.append(out[-1])  # the same event once more
+                continue
+            accepted = target in self._moves.get(state, ())
+            out.append((key[0], event_id, us, state, target, accepted))
+            state = target if accepted else state
+        if state != begun_with:
+            self._state.update((state,))
+        yield pd.DataFrame(out, columns=["order_id", "event_id", "us", "from_status", "to_status", "accepted"])
+
+
+def stream_status_machine(
+    events: DataFrame, initial: str = "PENDING", enforce_final: bool = False, lateness: str = "1 hour"
+) -> DataFrame:
     """The status replay as a stream: each event is emitted with the state it met and the verdict.
 
-    Events of one order must arrive in time order from trigger to trigger; within a trigger they are
-    sorted, so the source's rate limit (such as ``maxFilesPerTrigger``) bounds what one order that
-    can still move holds in memory.
+    An event is judged once the watermark, ``lateness`` behind the latest event, has passed it; until then
+    events may arrive in any order. What arrives after the watermark is dropped, as by Spark's own stateful
+    operators. Events without an order, a time or an id are emitted as rejected at once, without a state.
     """
     id_type = events.schema["order_id"].dataType.simpleString()
-    schema = (
-        f"order_id {id_type}, event_id bigint, ts timestamp, from_status string, to_status string, accepted boolean"
-    )
-    return (
-        events.select("order_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "to_status")
+    schema = f"order_id {id_type}, event_id bigint, us bigint, from_status string, to_status string, accepted boolean"
+    columns = ["order_id", "event_id", "ts", "from_status", "to_status", "accepted"]
+    timed = events.select("order_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "to_status")
+    placed = F.col("order_id").isNotNull() & F.col("ts").isNotNull() & F.col("event_id").isNotNull()
+    judged = (
+        timed.where(placed).withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts"))
         .groupBy("order_id")
         .transformWithStateInPandas(
             statefulProcessor=_StatusMachine(initial, enforce_final), outputStructType=schema,
-            outputMode="Append", timeMode="None",
+            outputMode="Append", timeMode="EventTime",
         )
     )
+    unplaced = timed.where(~placed).withColumn("from_status", F.lit(None).cast("string")).withColumn("accepted", F.lit(False))
+    return judged.withColumn("ts", F.timestamp_micros("us")).select(columns).unionByName(unplaced.select(columns))
 
 
-def stream_daily_sales(orders: DataFrame, lateness: str = "1 day") -> DataFrame:
+def stream_daily_sales(orders: DataFrame, lateness: str = "1 day", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """Sold orders per state and day over an append-only order stream, each order counted once.
 
-    Streams have no exact distinct count: ``unique_customers`` is approximate.
+    ``customers`` is a sketch of the distinct customers (HyperLogLog with 2^sketch_bits registers, a standard
+    error of about 0.83 / 2^(sketch_bits / 2)) and ``unique_customers`` its estimate. Sketches merge, so rows
+    of a day that arrive in several pieces, or the days of a month, are added up by ``merged_sales``.
     """
     sold = orders.where(st.is_sold(F.col("status")))
     timed = sold.withColumn("created_at", F.col("created_at").cast("timestamp"))
@@ -80,9 +117,28 @@ def stream_daily_sales(orders: DataFrame, lateness: str = "1 day") -> DataFrame:
         .agg(
             F.count("*").alias("order_count"),
             F.sum("total_amount").alias("total_revenue"),
-            F.approx_count_distinct("user_id").alias("unique_customers"),
+            F.hll_sketch_agg("user_id", F.lit(sketch_bits)).alias("customers"),
+        )
+        .select(
+            "status", F.col("day.start").alias("order_date"), "order_count", "total_revenue",
+            F.hll_sketch_estimate("customers").alias("unique_customers"), "customers",
+        )
+    )
+
+
+def merged_sales(sales: DataFrame, period: str = "month") -> DataFrame:
+    """Rows of ``stream_daily_sales`` added up by state and period ("day" merges pieces of one day), in the
+    same columns. A customer of several days counts once."""
+    return (
+        sales.groupBy("status", F.date_trunc(period, "order_date").alias("order_date"))
+        .agg(
+            F.sum("order_count").alias("order_count"), F.sum("total_revenue").alias("total_revenue"),
+            F.hll_union_agg("customers").alias("customers"),
+        )
+        .select(
+            "status", "order_date", "order_count", "total_revenue",
+            F.hll_sketch_estimate("customers").alias("unique_customers"), "customers",
         )
-        .select("status", F.col("day.start").alias("order_date"), "order_count", "total_revenue", "unique_customers")
     )
 
 
@@ -92,14 +148,14 @@ def stream_new_orders_dedupe(orders: DataFrame, lateness: str = "1 hour") -> Dat
     return timed.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["order_number"])
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Process everything that is available now and return the result table.
 
     Append results go to a parquet sink. In complete mode each trigger replaces the table of the one
-    before, so its last version is returned.
+    before, so its last version is returned. A ``folder`` used before goes on where it ended.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark, "stream")
+    folder = folder or shared_folder(spark, "stream")
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{folder}/table").outputMode("append").start().awaitTermination()
@@ -115,3 +171,20 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     if not versions:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{folder}/table/version={max(versions)}")
+
+
+def run_to_the_end(events: DataFrame, closing: dict, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The result of an append job over a stream that has ended: what waits for the watermark leaves too.
+
+    When all events are processed, one more row, the values ``closing`` of some columns, follows them. Its
+    time has to be far ahead, such as CLOSING, so that the watermark passes all others and never the row itself.
+    """
+    spark = events.sparkSession
+    folder = shared_folder(spark, "ended")
+    spark.createDataFrame([], events.schema).write.parquet(f"{folder}/closing")
+    ends = spark.readStream.schema(events.schema).parquet(f"{folder}/closing")
+    stream = job(events.unionByName(ends))
+    run_once(stream, folder=folder)
+    last = [F.lit(closing.get(field.name)).cast(field.dataType).alias(field.name) for field in events.schema.fields]
+    spark.range(1).select(*last).write.mode("append").parquet(f"{folder}/closing")
+    return run_once(stream, folder=folder)
