@@ -2,52 +2,70 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.session import stored
-
-# Beyond this many leading rows a page is located on the executors instead of by a top-k.
-TOP_K_ROWS = 100_000
 # Up to this rank one task takes what every other task leaves of a key; beyond, salted shares do.
 ONE_TASK_RANK = 1_000
 SALTS = 64
 
 
+class By(NamedTuple):
+    """One column of a listing's order. Nulls come first or last as Spark has it: first when ascending."""
+
+    name: str
+    descending: bool = False
+
+    def sorted(self) -> Column:
+        return F.desc(self.name) if self.descending else F.asc(self.name)
+
+    def same(self, value: Column) -> Column:
+        return F.col(self.name).eqNullSafe(value)
+
+    def behind(self, value: Column) -> Column:
+        """Whether the column comes after ``value`` in this order."""
+        column = F.col(self.name)
+        if self.descending:
+            return (column < value) | (column.isNull() & value.isNotNull())
+        return (column > value) | (column.isNotNull() & value.isNull())
+
+
 def page_of(df: DataFrame, order: list[Column], page: int | None = None, size: int | None = None) -> DataFrame:
-    """The sorted listing, or one 0-based page of it."""
+    """The sorted listing, or one 0-based page of it. A page is cut out of the first ``(page + 1) * size``
+    rows, which every task keeps of its own rows; pages far from the start are reached with ``page_after``."""
     if page is None or size is None:
         return df.orderBy(*order)
-    first = page * size
-    if first + size <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(first).limit(size)
-    return _deep_page(df, order, first, size)
+    return df.orderBy(*order).offset(page * size).limit(size)
 
 
-def _deep_page(df: DataFrame, order: list[Column], first: int, size: int) -> DataFrame:
-    """A page far from the start, without moving the rows before it.
+def page_after(df: DataFrame, order: list[By], size: int, last: dict | None = None) -> DataFrame:
+    """The ``size`` rows that follow the row with the values ``last`` of the order's columns; without it the
+    first page. Values may be columns, such as scalar subqueries.
 
-    The range-sorted listing is written out with each row's place in its partition; the partition
-    sizes (one row per partition) then give every row its place in the whole.
+    The page starts by a condition on the columns, not by counting rows: a page far from the start costs as
+    much as the first one, and rows that come or go before it do not move it. The columns together must tell
+    all rows apart; the last one, usually an id, is never null.
     """
-    listing = stored(
-        df.orderBy(*order)
-        .withColumn("_mark", F.monotonically_increasing_id())
-        .withColumn("_slice", F.shiftright("_mark", 33))
-        .withColumn("_place", F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_mark"),
-        "listing",
-    )
-    sizes = listing.groupBy("_slice").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    place = F.col("_start") + F.col("_place")
-    return (
-        listing.join(starts, "_slice")
-        .where((place >= first) & (place < first + size))
-        .orderBy(place)
-        .drop("_slice", "_start", "_place")
-    )
+    if last is not None:
+        values = {by.name: last[by.name] if isinstance(last[by.name], Column) else F.lit(last[by.name]) for by in order}
+        after, same = F.lit(False), F.lit(True)
+        for by in order:
+            after = after | (same & F.coalesce(by.behind(values[by.name]), F.lit(False)))
+            same = same & by.same(values[by.name])
+        # an empty page ends nowhere, and so does what follows it
+        df = df.where(after & values[order[-1].name].isNotNull())
+    return df.orderBy(*(by.sorted() for by in order)).limit(size)
+
+
+def last_place(page: DataFrame, order: list[By]) -> dict:
+    """The place where a page ends, for ``page_after``, as scalar subqueries: the page is not run ahead."""
+    backwards = [
+        F.asc_nulls_first(by.name) if by.descending else F.desc_nulls_last(by.name) for by in order
+    ]
+    end = page.orderBy(*backwards).limit(1)
+    return {by.name: end.select(by.name).scalar() for by in order}
 
 
 def page_with_total(df: DataFrame, order: list[Column], page: int = 0, size: int = 20) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import money
 from tallyhouse.functions import status as st
-from tallyhouse.operators.skew import hot_keys
 
 PRODUCT = ("product_id", "product_name", "product_sku")
 
@@ -265,62 +264,54 @@ def bought_together(
 ) -> DataFrame:
     """Pairs of products within one sold order, counted per pair of lines, at least ``min_frequency``.
 
-    The lines are first collapsed to one row per order and product with their count; a pair then
-    adds the product of both counts, so repeated lines never multiply rows. Orders with more than
-    ``pair_slice`` lines take their own way, see ``_long_order_pairs``.
+    The lines are first collapsed to one row per order and product with their count; a pair then adds the
+    product of both counts, so repeated lines never multiply rows. Products that no frequent pair can have
+    are left out of every order. An order's pairs arise in as many tasks as it has slices of ``pair_slice``
+    products.
     """
     sold = sold_items(items.select("order_id", *PAIR_KEY), orders)
-    long_orders = hot_keys(items, "order_id", pair_slice)
-    if long_orders is None:
-        pairs = _pairs(_collapsed(sold), _collapsed(sold), ["order_id"])
-    else:
-        long_orders = long_orders.select("order_id")
-        short = _collapsed(sold.join(long_orders, "order_id", "left_anti"))
-        long = _collapsed(sold.join(long_orders, "order_id", "left_semi"))
-        if min_frequency > 1:
-            long = _within_reach(long, short.unionByName(long), min_frequency)
-        pairs = _pairs(short, short, ["order_id"]).unionByName(_long_order_pairs(long, pair_slice))
-    counted = pairs.groupBy(*PAIR).agg(F.sum("frequency").alias("frequency"))
+    # said here already, so that every use of the lines has the same plan and the items are read once
+    paired = sold.where(F.col("order_id").isNotNull() & F.col("product_id").isNotNull())
+    lines = paired.groupBy("order_id", *PAIR_KEY).agg(F.count("*").alias("lines"))
+    if min_frequency > 1:
+        lines = _within_reach(lines, min_frequency)
+    counted = _pairs(lines, pair_slice).groupBy(*PAIR).agg(F.sum("frequency").alias("frequency"))
     return _top(counted.where(F.col("frequency") >= min_frequency), "frequency", PAIR, n)
 
 
-def _collapsed(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("order_id", *PAIR_KEY).agg(F.count("*").alias("lines"))
-
-
-def _pairs(first: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:
-    """Every pair of different products on the same key, in the order of their ids."""
-
-    def side(lines: DataFrame, n: int) -> DataFrame:
-        return lines.withColumnsRenamed(
-            {"product_id": f"product{n}_id", "product_name": f"product{n}_name", "lines": f"lines{n}"}
-        )
-
-    return (
-        side(first, 1).join(side(second, 2), on)
-        .where(F.col("product1_id") < F.col("product2_id"))
-        .select(*PAIR, (F.col("lines1") * F.col("lines2")).alias("frequency"))
-    )
-
-
-def _within_reach(lines: DataFrame, everywhere: DataFrame, min_frequency: int) -> DataFrame:
+def _within_reach(lines: DataFrame, min_frequency: int) -> DataFrame:
     """Drop products no pair of which can be frequent: the lines of the product times the largest line
     count in the order, summed over all orders, bounds the count of each of its pairs from above."""
-    most = everywhere.groupBy("order_id").agg(F.max("lines").alias("most"))
+    most = lines.groupBy("order_id").agg(F.max("lines").alias("most"))
     reach = (
-        everywhere.join(most, "order_id")
+        lines.join(most, "order_id")
         .groupBy(*PAIR_KEY).agg(F.sum(F.col("lines") * F.col("most")).alias("reach"))
         .where(F.col("reach") >= min_frequency)
+        .select(*(F.col(name).alias(f"reached_{name}") for name in PAIR_KEY))
     )
-    return lines.join(reach, list(PAIR_KEY), "left_semi")
+    same = [F.col(name).eqNullSafe(F.col(f"reached_{name}")) for name in PAIR_KEY]
+    return lines.join(reach, same, "left_semi")
+
 
+def _pairs(lines: DataFrame, pair_slice: int) -> DataFrame:
+    """Every pair of different products of an order, in the order of their ids.
 
-def _long_order_pairs(lines: DataFrame, pair_slice: int) -> DataFrame:
-    """The pairs of long orders: one side of an order is cut into slices of about ``pair_slice``
-    products, the other is repeated for each, so that its pairs arise in as many tasks."""
+    One side of an order is dealt into slices of about ``pair_slice`` products, the other is repeated for
+    each of them. How many slices an order has is counted inside the plan.
+    """
     slices = lines.groupBy("order_id").agg(F.ceil(F.count("*") / pair_slice).cast("int").alias("_slices"))
     sliced = lines.join(slices, "order_id")
+
+    def side(rows: DataFrame, n: int) -> DataFrame:
+        return rows.drop("_slices").withColumnsRenamed(
+            {"product_id": f"product{n}_id", "product_name": f"product{n}_name", "lines": f"lines{n}"}
+        )
+
     own = F.pmod(F.xxhash64("product_id"), F.col("_slices")).cast("int")
-    first = sliced.withColumn("slice", own).drop("_slices")
-    second = sliced.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
-    return _pairs(first, second, ["order_id", "slice"])
+    first = side(sliced.withColumn("slice", own), 1)
+    second = side(sliced.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))), 2)
+    return (
+        first.join(second, ["order_id", "slice"])
+        .where(F.col("product1_id") < F.col("product2_id"))
+        .select(*PAIR, (F.col("lines1") * F.col("lines2")).alias("frequency"))
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators import addresses, listings, nesting
 from tallyhouse.operators import item_listings as il
-from tallyhouse.operators.paging import page_with_total
+from tallyhouse.operators.paging import By, last_place, page_after, page_with_total
 from tallyhouse.plans.base import AS_OF, Registered, Shop, with_sql
 
 START, END = datetime(1996, 1, 1), datetime(1998, 12, 31)
@@ -51,6 +51,16 @@ NESTED_ITEM = """i.id AS item_id, i.product_id AS item_product_id, i.product_nam
 NESTED_ORDER = "o.id, o.order_number, o.user_id, o.status, cast(o.total_amount AS double) AS total_amount"
 KEPT = ("id", "order_number", "user_id", "status", "total_amount")
 
+def _third_page(shop: Shop) -> DataFrame:
+    """Two pages are walked by the place where each ends."""
+    order = [By("created_at", descending=True), By("status"), By("id")]
+    listing = shop.orders.select("id", "status", "created_at")
+    page = page_after(listing, order, 25)
+    for _ in range(2):
+        page = page_after(listing, order, 25, last_place(page, order))
+    return page
+
+
 QUERIES: dict[str, Registered] = {
     # lookups
     "lookup_orders_by_id": Registered(
@@ -152,6 +162,13 @@ QUERIES: dict[str, Registered] = {
         lambda s: listings.orders_by_user_status_date(s.orders, "DELIVERED", START, END),
         _orders(f"status = 'DELIVERED' AND {SPAN}"),
     ),
+    "orders_page_after": Registered(
+        _third_page,
+        with_sql(
+            "SELECT id, status, created_at FROM o ORDER BY created_at DESC NULLS LAST, status NULLS FIRST, id LIMIT 25 OFFSET 50",
+            "o",
+        ),
+    ),
     "orders_page_with_total": Registered(
         lambda s: page_with_total(s.orders, [F.desc("created_at"), F.asc("id")], page=2, size=20),
         with_sql(

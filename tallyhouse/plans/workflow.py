@@ -14,21 +14,24 @@ from tallyhouse.plans.enrichment import NEW_ADDRESS, UPDATES, _updates
 NOW = datetime(2024, 6, 1)
 
 
-def _catalogue(shop: Shop) -> DataFrame:
-    """The products without one brand, so that some requests ask for an unknown product."""
-    return shop.products.where(~F.col("sku").startswith("Brand#7-"))
+def _lines(shop: Shop) -> DataFrame:
+    """All request lines; some of them ask for a product that the catalogue does not have."""
+    unknown = (F.col("request_id") + F.col("line_no")) % 29 == 0
+    return shop.lines.withColumn("product_id", F.when(unknown, -F.col("product_id")).otherwise(F.col("product_id")))
 
 
-# the catalogue, lines judged against it, and the verdict per request
-CATALOGUE = "c AS (SELECT * FROM p WHERE sku NOT LIKE 'Brand#7-%')"
-JUDGED = f"""{CATALOGUE},
+# all request lines as above, judged against the catalogue, and the verdict per request
+LINES = """rq AS (
+  SELECT request_id, line_no, CASE WHEN (request_id + line_no) % 29 = 0 THEN -product_id ELSE product_id END AS product_id,
+         quantity FROM rl)"""
+JUDGED = f"""{LINES},
 judged AS (
-  SELECT rl.*, c.name, c.sku, c.price, coalesce(c.available_quantity, 0) AS stock,
-         CASE WHEN c.id IS NULL THEN 'PRODUCT_NOT_FOUND'
-              WHEN c.in_stock IS DISTINCT FROM true THEN 'PRODUCT_OUT_OF_STOCK'
-              WHEN c.available_quantity < rl.quantity THEN 'INSUFFICIENT_INVENTORY' END AS code,
-         CASE WHEN c.id IS NULL THEN 1 ELSE 2 END AS phase
-  FROM rl LEFT JOIN c ON c.id = rl.product_id),
+  SELECT rq.*, p.name, p.sku, p.price, coalesce(p.available_quantity, 0) AS stock,
+         CASE WHEN p.id IS NULL THEN 'PRODUCT_NOT_FOUND'
+              WHEN p.in_stock IS DISTINCT FROM true THEN 'PRODUCT_OUT_OF_STOCK'
+              WHEN p.available_quantity < rq.quantity THEN 'INSUFFICIENT_INVENTORY' END AS code,
+         CASE WHEN p.id IS NULL THEN 1 ELSE 2 END AS phase
+  FROM rq LEFT JOIN p ON p.id = rq.product_id),
 worded AS (
   SELECT *, CASE code
     WHEN 'PRODUCT_NOT_FOUND' THEN 'Product not found: ' || cast(product_id AS varchar)
@@ -41,8 +44,8 @@ first_reason AS (
   QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY phase, line_no, code, cast(product_id AS varchar), quantity) = 1),
 verdict AS (
   SELECT o.id AS request_id, o.user_id, o.created_at,
-         CASE WHEN o.id NOT IN (SELECT request_id FROM rl) THEN 'EMPTY_ORDER' ELSE code END AS code,
-         CASE WHEN o.id NOT IN (SELECT request_id FROM rl) THEN 'Order must contain at least one item'
+         CASE WHEN o.id NOT IN (SELECT request_id FROM rq) THEN 'EMPTY_ORDER' ELSE code END AS code,
+         CASE WHEN o.id NOT IN (SELECT request_id FROM rq) THEN 'Order must contain at least one item'
               ELSE message END AS message
   FROM o LEFT JOIN first_reason r ON r.request_id = o.id),
 accepted AS (SELECT * FROM verdict WHERE code IS NULL),
@@ -63,7 +66,13 @@ VERDICT = """SELECT request_id, code IS NULL AS accepted, code AS reject_code,
 
 def _created(shop: Shop) -> requests.Created:
     numbers = shop.orders.select("order_number")
-    return requests.create_orders(shop.headers, shop.lines, _catalogue(shop), numbers)
+    return requests.create_orders(shop.headers, _lines(shop), shop.products, numbers)
+
+
+def _confirmed(shop: Shop) -> DataFrame:
+    """All confirmed orders, and some more that no payment knows."""
+    confirmed = shop.orders.where(F.col("status") == "CONFIRMED")
+    return confirmed.unionByName(confirmed.where(F.col("id") % 7 == 0).withColumn("id", -F.col("id")))
 
 
 def _numbered(shop: Shop) -> DataFrame:
@@ -162,37 +171,40 @@ NEW_JSON = "{" + ",".join(f'"{name}":"{text}"' for name, text in NEW_ADDRESS.ite
 QUERIES: dict[str, Registered] = {
     # requests
     "price_requests": Registered(
-        lambda s: requests.price_requests(s.lines, _catalogue(s)),
+        lambda s: requests.price_requests(_lines(s), s.products),
         with_sql(
-            """SELECT request_id, count(*) AS line_count,
+            f""", {LINES}
+               SELECT request_id, count(*) AS line_count,
                       CASE WHEN count(*) = count(p.id) THEN cast(sum(price * quantity) AS double) END AS total_amount
-               FROM rl LEFT JOIN p ON p.id = rl.product_id AND p.sku NOT LIKE 'Brand#7-%' GROUP BY request_id""",
+               FROM rq LEFT JOIN p ON p.id = rq.product_id GROUP BY request_id""",
             "rl", "p",
         ),
     ),
     "check_stock": Registered(
-        lambda s: requests.check_stock(s.headers, s.lines, _catalogue(s)), _judged(VERDICT)
+        lambda s: requests.check_stock(s.headers, _lines(s), s.products), _judged(VERDICT)
     ),
     "check_stock_cumulative": Registered(
-        lambda s: requests.check_stock(s.headers, s.lines, _catalogue(s), cumulative=True).select(
+        lambda s: requests.check_stock(s.headers, _lines(s), s.products, cumulative=True).select(
             "request_id", "accepted"
         ),
         with_sql(
-            """SELECT o.id AS request_id, coalesce(bool_and(ok), false) AS accepted
+            f""", {LINES}
+               SELECT o.id AS request_id, coalesce(bool_and(ok), false) AS accepted
                FROM o LEFT JOIN (
                  SELECT request_id, coalesce(p.in_stock AND p.available_quantity >= q, false) AS ok
-                 FROM (SELECT request_id, product_id, sum(quantity) AS q FROM rl GROUP BY ALL) w
-                 LEFT JOIN p ON p.id = w.product_id AND p.sku NOT LIKE 'Brand#7-%') ON request_id = o.id
+                 FROM (SELECT request_id, product_id, sum(quantity) AS q FROM rq GROUP BY ALL) w
+                 LEFT JOIN p ON p.id = w.product_id) ON request_id = o.id
                GROUP BY o.id""",
             "o", "rl", "p",
         ),
     ),
     "check_inventory": Registered(
-        lambda s: requests.check_inventory(s.lines, _catalogue(s)),
+        lambda s: requests.check_inventory(_lines(s), s.products),
         with_sql(
-            """SELECT request_id, cast(line_no AS bigint) AS line_no, product_id, cast(quantity AS bigint) AS quantity,
+            f""", {LINES}
+               SELECT request_id, cast(line_no AS bigint) AS line_no, product_id, cast(quantity AS bigint) AS quantity,
                       coalesce(p.in_stock AND p.available_quantity >= quantity, false) AS sufficient
-               FROM rl LEFT JOIN p ON p.id = rl.product_id AND p.sku NOT LIKE 'Brand#7-%'""",
+               FROM rq LEFT JOIN p ON p.id = rq.product_id""",
             "rl", "p",
         ),
     ),
@@ -381,17 +393,17 @@ QUERIES: dict[str, Registered] = {
         ),
     ),
     "payment_outcomes": Registered(
-        lambda s: effects.payment_outcomes(
-            s.orders.where(F.col("status") == "CONFIRMED"), s.payments.where(F.col("status") != "CANCELLED")
-        ),
+        lambda s: effects.payment_outcomes(_confirmed(s), s.payments),
         with_sql(
-            """SELECT o.id AS order_id, pay.payment_number,
+            """, confirmed AS (
+                 SELECT id FROM o WHERE status = 'CONFIRMED'
+                 UNION ALL SELECT -id FROM o WHERE status = 'CONFIRMED' AND id % 7 = 0)
+               SELECT c.id AS order_id, pay.payment_number,
                       CASE pay.status WHEN 'COMPLETED' THEN 'PAID' WHEN 'FAILED' THEN 'FAILED'
                            ELSE CASE WHEN pay.id IS NULL THEN 'UNAVAILABLE' ELSE 'OTHER' END END AS outcome,
                       pay.id IS NULL OR pay.status = 'FAILED' AS payment_failed, 'CONFIRMED' AS final_status,
                       pay.failure_reason
-               FROM o LEFT JOIN pay ON pay.order_id = o.id AND pay.status <> 'CANCELLED'
-               WHERE o.status = 'CONFIRMED'""",
+               FROM confirmed c LEFT JOIN pay ON pay.order_id = c.id""",
             "pay",
         ),
     ),

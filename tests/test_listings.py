@@ -4,8 +4,8 @@ import pytest
 from conftest import at, rows
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import item_listings, listings, nesting, paging
-from tallyhouse.operators.paging import first_per_key, page_of, page_with_total
+from tallyhouse.operators import item_listings, listings, nesting
+from tallyhouse.operators.paging import By, first_per_key, last_place, page_after, page_of, page_with_total
 
 
 @pytest.fixture(scope="module")
@@ -60,13 +60,29 @@ def test_pages_concatenate_to_the_listing(orders):
     assert [(r["id"], r["total_elements"], r["total_pages"]) for r in third] == [("a", 5, 3)]
 
 
-def test_deep_page_equals_top_k_page(spark, monkeypatch):
-    numbers = spark.range(5_000).select(F.xxhash64("id").alias("value"), "id").repartition(7)
-    order = [F.asc("value"), F.asc("id")]
-    expected = numbers.orderBy(*order).offset(3_210).limit(15).collect()
-    monkeypatch.setattr(paging, "TOP_K_ROWS", 100)
-    assert page_of(numbers, order, 214, 15).collect() == expected
-    assert page_of(numbers, order, 400, 15).collect() == []
+@pytest.mark.parametrize("directions", [(False, False), (True, False), (False, True), (True, True)])
+def test_pages_by_place_walk_the_whole_listing(spark, directions):
+    """Mixed directions, nulls and ties; every page starts where the client's last row was."""
+    data = [(n % 4 or None, n % 3 or None, n) for n in range(37)]
+    table = spark.createDataFrame(data, "a int, b int, id int").repartition(5)
+    order = [By("a", directions[0]), By("b", directions[1]), By("id", True)]
+    whole = table.orderBy(*(by.sorted() for by in order)).collect()
+    walked, last = [], None
+    while page := page_after(table, order, 8, last).collect():
+        walked += page
+        last = page[-1].asDict()
+    assert walked == whole
+
+
+def test_a_page_starts_without_the_rows_before_it(spark, make_orders):
+    table = spark.range(5_000).select(F.xxhash64("id").alias("value"), "id").repartition(7)
+    order = [By("value"), By("id")]
+    want = table.orderBy("value", "id").collect()
+    assert page_after(table, order, 15, want[3_209].asDict()).collect() == want[3_210:3_225]
+    first = page_after(table, order, 15)
+    assert page_after(table, order, 15, last_place(first, order)).collect() == want[15:30]
+    nothing = page_after(table, order, 15, want[-1].asDict())
+    assert nothing.collect() == [] and page_after(table, order, 15, last_place(nothing, order)).collect() == []
 
 
 @pytest.mark.parametrize("n", [3, 1_200])

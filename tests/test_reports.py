@@ -5,9 +5,10 @@ from random import Random
 
 import pytest
 from conftest import at, rows
+from pyspark.sql import functions as F
 
 from tallyhouse import schema
-from tallyhouse.operators import skew, stats, views
+from tallyhouse.operators import stats, views
 
 
 def test_seed_rows(seed):
@@ -80,9 +81,8 @@ def test_order_without_items_in_summary(make_orders, make_items):
 
 @pytest.mark.parametrize("min_frequency", [1, 2, 4])
 @pytest.mark.parametrize("pair_slice, broadcast", [(3, True), (3, False), (1_000, True)])
-def test_pairs_against_brute_force(spark, monkeypatch, make_orders, make_items, min_frequency, pair_slice, broadcast):
+def test_pairs_against_brute_force(spark, make_orders, make_items, min_frequency, pair_slice, broadcast):
     if not broadcast:  # all joins by sorting, as on large tables
-        monkeypatch.setattr(skew, "KEYS_ON_DRIVER", 0)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     random = Random(5)
     states = ["SHIPPED", "DELIVERED", "PENDING"]
@@ -109,6 +109,21 @@ def test_pairs_against_brute_force(spark, monkeypatch, make_orders, make_items,
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_pairs_of_an_order_with_thousands_of_products(make_orders, make_items):
+    """Only the products that another order has too can be in a frequent pair; the others form none at all."""
+    orders = make_orders(("big", "u", "SHIPPED", "1.00", "2024-01-01"), ("small", "v", "DELIVERED", "1.00", "2024-01-02"))
+    shared = range(0, 5_000, 170)
+    items = make_items(
+        *((f"b{n}", "big", f"p{n:04d}", "P", 1, "1.00") for n in range(5_000)),
+        *((f"s{n}", "small", f"p{n:04d}", "P", 1, "1.00") for n in shared),
+    )
+    got = stats.bought_together(items, orders, 2, pair_slice=10)
+    want = sorted((f"p{x:04d}", "P", f"p{y:04d}", "P", 2) for x, y in combinations(shared, 2))
+    assert rows(got) == want
+    pairs = stats._pairs(stats._within_reach(items.groupBy("order_id", *stats.PAIR_KEY).agg(F.count("*").alias("lines")), 2), 10)
+    assert pairs.count() == 2 * len(want)
+
+
 def test_replenishment_with_and_without_stock(make_orders, make_items, make_products):
     orders = make_orders(("a", "u", "SHIPPED", "1.00", "2024-01-01"))
     items = make_items(("1", "a", "p", "P", 5, "1.00"), ("2", "a", "q", "Q", 7, "1.00"))
