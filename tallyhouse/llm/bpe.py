@@ -3,7 +3,8 @@
 Greedy longest match proposes the tokens of a word. A proposal is the true encoding exactly if no merge
 ever crosses from one token into the next, which depends on the two tokens alone; so all adjacent pairs
 are checked at once, in numpy, on the merge trees of their tokens. Only words with a failing pair are
-merged pair by pair.
+merged exactly: first the two tokens beside the failing border alone, whose outer borders are then checked
+again, and the whole word where that does not settle it.
 
 The vocabulary file is read on the driver; its tables, of the vocabulary's size, go to every task.
 """
@@ -16,7 +17,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +30,9 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.shared import documents, prepare
 
 END = "\n"  # stands for the word-end suffix; no byte is written as it
+LAST = 0xE000  # letters from here on stand for a byte and the word end behind it
+REPAIRS = 4  # rounds of encoding the tokens beside a failing border anew
+SHORT = 48  # symbols up to which merging scans the list instead of keeping a heap
 NEVER = np.int64(1) << 40
 CACHED_WORDS = 400_000
 ROWS_OUT = 500
@@ -52,6 +58,7 @@ class Merges:
             made = tokens[a + b]
             self.pairs[tokens[a], tokens[b]] = rank, made
             self.left[made], self.right[made], self.rank[made] = tokens[a], tokens[b], rank
+        self.rank_of = {pair: rank for pair, (rank, _) in self.pairs.items()}
         keys = np.array([a * size + b for a, b in self.pairs], dtype=np.int64)
         order = np.argsort(keys)
         self.keys = keys[order]
@@ -101,6 +108,22 @@ class Merges:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge the symbols lowest rank first, of equal ranks the left-most."""
+        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        ids, never, ranks_of = list(ids), len(self.pairs), self.rank_of
+        ranks = [ranks_of.get(pair, never) for pair in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < never:
+            at = ranks.index(least)
+            ids[at:at + 2] = [self.pairs[ids[at], ids[at + 1]][1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = ranks_of.get((ids[at - 1], ids[at]), never)
+            if at < len(ranks):
+                ranks[at] = ranks_of.get((ids[at], ids[at + 1]), never)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         before, after = list(range(-1, len(ids) - 1)), [*range(1, len(ids)), -1]
         ids, gone = list(ids), [False] * len(ids)
         heap = [(*self.pairs[pair], i, pair) for i, pair in enumerate(zip(ids, ids[1:])) if pair in self.pairs]
@@ -121,6 +144,13 @@ class Merges:
         return [token for token, dead in zip(ids, gone) if not dead]
 
 
+def _gathered(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches numbered ``at`` of a flat array, one after the other, and where each of them ends."""
+    size = sizes[at]
+    stop = np.cumsum(size)
+    return flat[np.repeat(ends[at] - stop, size) + np.arange(int(size.sum()))], stop
+
+
 class Tokenizer:
     """Encoder and decoder made from the text of a vocabulary file with word ends and lower-casing."""
 
@@ -145,69 +175,133 @@ class Tokenizer:
             names[number] = token
         self.names = pa.array(names, pa.string())
         whole = self.merges.whole()
-        self.proposals = {token: number for token, number in self.ids.items() if whole[number]}
-        self.longest: dict[str, int] = {}
-        for token in self.proposals:
-            self.longest[token[:2]] = max(len(token), self.longest.get(token[:2], 1))
         self.letters = dict(enumerate(byte_letters()))
+        self.last = {letter: chr(LAST + n) for n, letter in self.letters.items()}
+        self.symbols: dict[str, int] = {}
+        self.proposals = ahocorasick.Automaton()
+        self.sizes, self.spelling = np.zeros(self.merges.size, np.int64), [""] * self.merges.size
+        for token, number in self.ids.items():
+            # the last letter of a word and its end mark are one symbol
+            token = token[:-2] + self.last[token[-2]] if token.endswith(END) and len(token) > 1 else token
+            self.sizes[number], self.spelling[number] = len(token), token
+            if len(token) == 1:
+                self.symbols[token] = number
+            if whole[number]:
+                self.proposals.add_word(token, number)
+        self.proposals.make_automaton()
+        self.seen = self.failed = 0  # words encoded, and those among them that had to be merged
         self._forget()
 
     def _forget(self) -> None:
         """Chunks seen by this process: the number of each, and where its ids stand in the flat array."""
         self.known: dict[str | int, int] = {}
+        self.joins: dict[int, list[int]] = {}
         self.ends, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest match; the word-end mark stays with the letter before it."""
-        out, at, last = [], 0, len(word) - 1
-        while at <= last:
-            size = min(self.longest.get(word[at:at + 2], 1), len(word) - at)
-            while size:
-                if at + size != last:
-                    token = self.proposals.get(word[at:at + size])
-                    if token is not None:
-                        break
-                size -= 1
-            out.append(token)
-            at += size
-        return out
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, the word each is of, words that they do not cover): greedy longest match over all words.
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; a word is its byte letters followed by END."""
-        proposed = [self.propose(word) for word in words]
-        sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((token for ids in proposed for token in ids), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
-        inside = owner[1:] == owner[:-1]
-        keys, back = np.unique(flat[:-1][inside] * self.merges.size + flat[1:][inside], return_inverse=True)
-        bad = self.merges.crossed(keys // self.merges.size, keys % self.merges.size)
-        for n in np.unique(owner[1:][inside][bad[back]]):
-            word = words[n]
-            symbols = [*word[:-2], word[-2:]]
-            proposed[n] = self.merges.merge([self.ids[symbol] for symbol in symbols])
-        return proposed
+        Only the last symbol of a word is a last letter, so no match crosses from one word into the next.
+        """
+        found = list(self.proposals.iter_long("".join(words)))
+        ends, tokens = (np.fromiter(column, np.int64, len(found)) for column in (zip(*found) if found else ((), ())))
+        borders = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        owner = np.searchsorted(borders, ends, side="right")
+        covered = np.bincount(owner, self.sizes[tokens], len(words))
+        return tokens, owner, np.flatnonzero(covered != np.diff(borders, prepend=0))
+
+    def _crossed(self, tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Places of the tokens whose border to the next one in the word is crossed by a merge."""
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        keys, back = np.unique(tokens[inside] * self.merges.size + tokens[inside + 1], return_inverse=True)
+        return inside[self.merges.crossed(keys // self.merges.size, keys % self.merges.size)[back]]
+
+    def _joined(self, key: int) -> list[int]:
+        """The encoding of two tokens' letters; met again in other words, it is looked up."""
+        if key not in self.joins:
+            letters = self.spelling[key // self.merges.size] + self.spelling[key % self.merges.size]
+            self.joins[key] = self.merges.merge([self.symbols[letter] for letter in letters])
+        return self.joins[key]
+
+    def _repaired(self, tokens: np.ndarray, owner: np.ndarray, crossed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two tokens at every crossed border encoded anew; of borders in a row every other one."""
+        run = np.flatnonzero(np.diff(crossed, prepend=-2) > 1)
+        place = np.arange(len(crossed)) - np.repeat(run, np.diff(run, append=len(crossed)))
+        chosen = crossed[place % 2 == 0]
+        keys, back = np.unique(tokens[chosen] * self.merges.size + tokens[chosen + 1], return_inverse=True)
+        joined = [self._joined(key) for key in keys.tolist()]
+        sizes = np.fromiter(map(len, joined), np.int64, len(joined))
+        new, _ = _gathered(np.fromiter(chain.from_iterable(joined), np.int64), np.cumsum(sizes), sizes, back)
+        counts, changed = np.ones(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        counts[chosen], counts[chosen + 1], changed[chosen] = sizes[back], 0, True
+        out, fresh = np.repeat(tokens, counts), np.repeat(changed, counts)
+        out[fresh] = new
+        return out, np.repeat(owner, counts)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each word has); a word is its byte letters, the last one as a last letter.
+
+        Where a border fails, the two tokens beside it are encoded anew and the borders of their word are
+        checked again; a word that still fails after REPAIRS rounds is merged from its letters.
+        """
+        tokens, owner, uncovered = self.propose(words)
+        merged_whole = np.zeros(len(words), bool)
+        merged_whole[uncovered] = True
+        done, unsure = [], ~merged_whole[owner]
+        tokens, owner = tokens[unsure], owner[unsure]
+        for n in range(REPAIRS + 1):
+            crossed = self._crossed(tokens, owner)
+            failing = np.zeros(len(words), bool)
+            failing[owner[crossed]] = True
+            fails = failing[owner]
+            done.append((tokens[~fails], owner[~fails]))
+            if n == 0:
+                self.seen, self.failed = self.seen + len(words), self.failed + int((failing | merged_whole).sum())
+            if n == REPAIRS or not len(crossed):
+                break
+            crossed = np.cumsum(fails)[crossed] - 1
+            tokens, owner = self._repaired(tokens[fails], owner[fails], crossed)
+        merged_whole |= failing
+        rest = np.flatnonzero(merged_whole).tolist()
+        merged = [self.merges.merge([self.symbols[letter] for letter in words[n]]) for n in rest]
+        sizes = np.fromiter(map(len, merged), np.int64, len(merged))
+        done.append((np.fromiter(chain.from_iterable(merged), np.int64), np.repeat(rest, sizes).astype(np.int64)))
+        tokens, owner = (np.concatenate(parts) for parts in zip(*done))
+        return tokens[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
     def spell(self, chunk: str) -> list[str]:
-        """The words of a chunk without blanks, in byte letters, each with its end mark."""
+        """The words of a chunk without blanks, in byte letters, the last one as a last letter."""
+        last = self.last
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk[:-1] + last[chunk[-1]]]
         return [
-            (word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters))
-            + END
-            for word in ([chunk] if chunk.isascii() and chunk.isalpha() else self.pattern.findall(chunk))
+            word[:-1] + last[word[-1]]
+            for word in (
+                part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+                for part in self.pattern.findall(chunk)
+            )
         ]
 
     def learn(self, new: list[str | int]) -> None:
         """Encode chunks and remember them; a number is the id of a special token."""
-        spelled = [[] if isinstance(chunk, int) else self.spell(chunk) for chunk in new]
-        words = list({word for parts in spelled for word in parts})
-        encoded = dict(zip(words, self.encode_words(words))) if words else {}
-        ids = [
-            [chunk] if isinstance(chunk, int) else [token for word in parts for token in encoded[word]]
-            for chunk, parts in zip(new, spelled)
-        ]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        spelled = [(chunk,) if isinstance(chunk, int) else self.spell(chunk) for chunk in new]
+        words = list(dict.fromkeys(chain.from_iterable(spelled)))
+        place = {word: n for n, word in enumerate(words)}
+        plain = [word for word in words if isinstance(word, str)]
+        flat, counts = self.encode_words(plain)
+        special = np.array([isinstance(word, int) for word in words], bool)
+        sizes = np.ones(len(words), np.int64)
+        sizes[~special] = counts
+        values = np.empty(int(sizes.sum()), np.int64)
+        values[np.repeat(special, sizes)] = [word for word in words if isinstance(word, int)]
+        values[np.repeat(~special, sizes)] = flat
+        used = np.fromiter(map(place.__getitem__, chain.from_iterable(spelled)), np.int64)
+        per_chunk = np.fromiter(map(len, spelled), np.int64, len(new))
+        picked, ends = _gathered(values, np.cumsum(sizes), sizes, used)
+        at = np.concatenate([[0], ends])[np.cumsum(per_chunk)]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for some in ids for i in some), np.int32, int(sizes.sum()))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + at])
+        self.flat = np.concatenate([self.flat, picked.astype(np.int32)])
 
     def chunks(self, text: str) -> list[str | int]:
         """The normalised text cut at blanks; a special token is its id."""
@@ -234,17 +328,16 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> pa.ListArray:
         """The ids of each text."""
         per_text = [self.chunks(text) for text in texts]
-        wanted = {chunk for chunks in per_text for chunk in chunks}
-        new = wanted - self.known.keys()
+        every = list(chain.from_iterable(per_text))
+        wanted = set(every)
+        new = wanted.difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
             self._forget()
             new = wanted
         if new:
             self.learn(list(new))
-        at = np.fromiter((self.known[chunk] for chunks in per_text for chunk in chunks), np.int64)
-        size = self.ends[at + 1] - self.ends[at]
-        ends = np.cumsum(size)
-        picked = self.flat[np.repeat(self.ends[at] - (ends - size), size) + np.arange(size.sum())]
+        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        picked, ends = _gathered(self.flat, self.ends[1:], np.diff(self.ends), at)
         per = np.concatenate([[0], np.cumsum([len(chunks) for chunks in per_text])]).astype(np.int64)
         offsets = np.concatenate([[0], ends])[per]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(picked, pa.int32()))
