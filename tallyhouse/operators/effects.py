@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import address
+from tallyhouse.operators import ledger
 from tallyhouse.operators.enrich import formatted_amount
 
 # Payment defaults, notification types with subject and priority, default texts.
@@ -77,23 +78,9 @@ def inventory_movements(changes: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def inventory_position(movements: DataFrame, products: DataFrame) -> DataFrame:
-    """Reserved, sold and available quantity of every product after the movements."""
-
-    def moved(kind: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("movement") == kind, F.col("quantity"))), F.lit(0))
-
-    ledger = movements.groupBy("product_id").agg(
-        (moved("RESERVE") - moved("CONFIRM_SALE") - moved("RELEASE")).alias("_reserved"),
-        moved("CONFIRM_SALE").alias("_sold"),
-    )
-    stock = F.coalesce("available_quantity", F.lit(0))
-    reserved, sold = F.coalesce("_reserved", F.lit(0)), F.coalesce("_sold", F.lit(0))
-    return products.select(F.col("id").alias("product_id"), "available_quantity").join(
-        ledger, "product_id", "left"
-    ).select(
-        "product_id", stock.cast("bigint").alias("on_hand"), reserved.alias("reserved"), sold.alias("sold"),
-        (stock - reserved - sold).alias("available"),
-    )
+    """Reserved, sold and available quantity of every product after the movements. Where movements come in
+    batches, ``StockLedger`` keeps what this adds up."""
+    return ledger.position(ledger.signed(movements), products)
 
 
 # --- payments ----------------------------------------------------------------------------------

@@ -36,19 +36,22 @@ def user_order_lines(orders: DataFrame, items: DataFrame, user: object | None =
     return order_lines(orders, items).orderBy(*order)
 
 
-def nest_items(items: DataFrame, items_per_row: int | None = None) -> DataFrame:
+def nest_items(items: DataFrame, items_per_row: int | None = None, in_place: bool = False) -> DataFrame:
     """(order_id, part, items): one row per order, whatever its size, with ``part`` 0.
 
     A list is held in memory as one value. With ``items_per_row`` an order above that many items is spread by
     the hash of the item id over as many parts as keep the lists near that length; ``order_lines`` has no
     lists at all. Nothing is cut but items without an order id. Rows are shuffled as they are: a list
     gathered ahead of the shuffle would be no smaller.
+
+    ``in_place`` is for items bucketed on the order id (``save_bucketed``): they are listed where they lie, bucket by
+    bucket in the order of the bucket's files, without any shuffle. One order must fit in memory either way.
     """
     items = items.where(F.col("order_id").isNotNull())
     long_orders = hot_keys(items, "order_id", items_per_row) if items_per_row is not None else None
     listed = F.sort_array(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items")
     if long_orders is None:
-        nested = items.repartition("order_id").groupBy("order_id").agg(listed)
+        nested = (items if in_place else items.repartition("order_id")).groupBy("order_id").agg(listed)
         return nested.select("order_id", F.lit(0).alias("part"), "items")
     parts = long_orders.select("order_id", F.ceil(F.col("rows") / items_per_row).alias("_parts"))
     part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0)).cast("int")
@@ -58,13 +61,13 @@ def nest_items(items: DataFrame, items_per_row: int | None = None) -> DataFrame:
 
 def orders_with_items(
     orders: DataFrame, items: DataFrame, keys: DataFrame | None = None, by: str = "id",
-    items_per_row: int | None = None,
+    items_per_row: int | None = None, in_place: bool = False,
 ) -> DataFrame:
     """Orders with their item list (empty without items), for all orders or for a table of keys."""
     if keys is not None:
         orders = orders.join(keys.select(by).distinct(), by, "left_semi")
         items = items.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
-    nested = nest_items(items, items_per_row).withColumnRenamed("order_id", "id")
+    nested = nest_items(items, items_per_row, in_place).withColumnRenamed("order_id", "id")
     empty = F.array().cast(nested.schema["items"].dataType)
     return orders.join(nested, "id", "left").withColumns(
         {"part": F.coalesce("part", F.lit(0)), "items": F.coalesce("items", empty)}
@@ -75,23 +78,16 @@ def newest_first(*extra: str) -> list[Column]:
     return [F.desc("created_at"), F.asc("id"), *map(F.asc, extra)]
 
 
-def user_orders_with_items(
-    orders: DataFrame, items: DataFrame, user: object | None = None, items_per_row: int | None = None
+def order_response(
+    orders: DataFrame, items: DataFrame, items_per_row: int | None = None, in_place: bool = False
 ) -> DataFrame:
-    """A user's orders with items, newest first; without ``user`` every user's, grouped by user."""
-    if user is not None:
-        orders = orders.where(F.col("user_id") == user)
-        items = items.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
-    order = newest_first("part") if user is not None else [F.asc("user_id"), *newest_first("part")]
-    return orders_with_items(orders, items, items_per_row=items_per_row).orderBy(*order)
-
-
-def order_response(orders: DataFrame, items: DataFrame, items_per_row: int | None = None) -> DataFrame:
     """The full order, one row: parsed addresses, nested items, number of lines and summed quantity.
 
+    With ``in_place`` items bucketed on the order id are not shuffled, nor are orders bucketed alike on their id.
+
     With ``items_per_row`` a longer list is spread over several parts; both totals cover the whole order.
     """
-    nested = orders_with_items(orders, items, items_per_row=items_per_row)
+    nested = orders_with_items(orders, items, items_per_row=items_per_row, in_place=in_place)
     if items_per_row is None:
         whole = nested.withColumns({
             "total_items": F.size("items").cast("bigint"),

@@ -7,9 +7,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import effects, history, requests, updates
+from tallyhouse.operators import effects, history, ledger, requests, updates
 from tallyhouse.plans.base import Registered, Shop, with_sql
 from tallyhouse.plans.enrichment import NEW_ADDRESS, UPDATES, _updates
+from tallyhouse.session import shared_folder
+from tallyhouse.sources import tables
 
 NOW = datetime(2024, 6, 1)
 
@@ -166,8 +168,55 @@ def _won(select: str, *names: str) -> str:
     return with_sql("", "ev", *names).rstrip() + f",\n{WON}\n{select}"
 
 
+def _ledger(shop: Shop) -> DataFrame:
+    """The movements of orders and of two halves of their events, in three batches; one is delivered twice, and
+    a snapshot is taken in between."""
+    moved = effects.inventory_movements(_changes(shop), shop.item_keys)
+    stock = ledger.StockLedger(shop.spark, shared_folder(shop.spark, "ledger"), "bigint")
+    early = F.col("event_id") % 2 == 0
+    stock.commit("created", moved.where(F.col("event_id").isNull()))
+    stock.commit("early", moved.where(early))
+    stock.compact()
+    stock.commit("late", moved.where(~early))
+    stock.commit("early", moved.where(early))
+    return ledger.position(stock.stock(), shop.products)
+
+
+def _merged_orders(shop: Shop) -> DataFrame:
+    """Orders written by month, the updated ones merged in and every 97th deleted, read again."""
+    path, orders = shared_folder(shop.spark, "merged"), shop.addressed
+    tables.write_table(orders, path, month_of="created_at", sort_by=("status",))
+    updated = updates.apply_order_updates(orders, _updates(shop), NOW).where(F.col("updated_at") == F.lit(NOW))
+    tables.merge_months(
+        path, orders.schema, "created_at", updated.select(orders.columns), orders.where("id % 97 = 5").select("id"), sort_by=("status",)
+    )
+    return tables.read_table(shop.spark, path, orders.schema).select(orders.columns)
+
+
+def _merged_items(shop: Shop) -> DataFrame:
+    """Items written by the month of their order, those of every 97th order deleted, read again."""
+    path, created = shared_folder(shop.spark, "merged"), shop.orders.select(F.col("id").alias("order_id"), "created_at")
+    items = shop.items.join(created, "order_id")
+    tables.write_table(items, path, month_of="created_at")
+    gone = shop.orders.where("id % 97 = 5").select(F.col("id").alias("order_id"))
+    tables.merge_months(path, items.schema, "created_at", deleted=gone, delete_by="order_id")
+    return tables.read_table(shop.spark, path, items.schema).select("id", "order_id", "quantity")
+
+
 NEW_JSON = "{" + ",".join(f'"{name}":"{text}"' for name, text in NEW_ADDRESS.items()) + "}"
 
+POSITION = f""", m AS (SELECT {MOVED} AS kind, l_partkey AS product_id, cast(l_quantity AS int) AS q
+                        FROM ch JOIN lineitem ON l_orderkey = order_id),
+                 t AS (SELECT product_id,
+                              cast(coalesce(sum(q) FILTER (kind = 'RESERVE'), 0)
+                                   - coalesce(sum(q) FILTER (kind <> 'RESERVE'), 0) AS bigint) AS reserved,
+                              cast(coalesce(sum(q) FILTER (kind = 'CONFIRM_SALE'), 0) AS bigint) AS sold
+                       FROM m GROUP BY product_id)
+                SELECT p.id AS product_id, cast(coalesce(available_quantity, 0) AS bigint) AS on_hand,
+                       coalesce(reserved, 0) AS reserved, coalesce(t.sold, 0) AS sold,
+                       coalesce(available_quantity, 0) - coalesce(reserved, 0) - coalesce(t.sold, 0) AS available
+                FROM p LEFT JOIN t ON t.product_id = p.id"""
+
 QUERIES: dict[str, Registered] = {
     # requests
     "price_requests": Registered(
@@ -269,6 +318,24 @@ QUERIES: dict[str, Registered] = {
             "oj",
         ),
     ),
+    "merged_orders": Registered(
+        _merged_orders,
+        _won(
+            f"""SELECT oj.id, order_number, user_id, coalesce(u.target, oj.status) AS status,
+                       cast(total_amount AS double) AS total_amount, created_at,
+                       CASE WHEN u.target IS NOT NULL THEN TIMESTAMP '2024-06-01' ELSE updated_at END AS updated_at,
+                       CASE WHEN u.ship THEN '{NEW_JSON}' ELSE shipping_address END AS shipping_address,
+                       CASE WHEN u.bill THEN '{NEW_JSON}' ELSE billing_address END AS billing_address
+                FROM oj LEFT JOIN won ON won.order_id = oj.id LEFT JOIN u ON u.update_id = won.first
+                  AND u.order_id = won.order_id
+                WHERE oj.id % 97 <> 5""",
+            "oj",
+        ),
+    ),
+    "merged_items": Registered(
+        _merged_items,
+        with_sql("SELECT id, order_id, cast(quantity AS bigint) AS quantity FROM i WHERE order_id % 97 <> 5", "i"),
+    ),
     "bulk_status_outcomes": Registered(
         lambda s: updates.bulk_status_outcomes(
             s.orders, _updates(s).select("order_id", F.lit("RETURNED").alias("new_status"))
@@ -367,21 +434,9 @@ QUERIES: dict[str, Registered] = {
     ),
     "inventory_position": Registered(
         lambda s: effects.inventory_position(effects.inventory_movements(_changes(s), s.item_keys), s.products),
-        with_sql(
-            f""", m AS (SELECT {MOVED} AS kind, l_partkey AS product_id, cast(l_quantity AS int) AS q
-                        FROM ch JOIN lineitem ON l_orderkey = order_id),
-                 t AS (SELECT product_id,
-                              cast(coalesce(sum(q) FILTER (kind = 'RESERVE'), 0)
-                                   - coalesce(sum(q) FILTER (kind <> 'RESERVE'), 0) AS bigint) AS reserved,
-                              cast(coalesce(sum(q) FILTER (kind = 'CONFIRM_SALE'), 0) AS bigint) AS sold
-                       FROM m GROUP BY product_id)
-                SELECT p.id AS product_id, cast(coalesce(available_quantity, 0) AS bigint) AS on_hand,
-                       coalesce(reserved, 0) AS reserved, coalesce(t.sold, 0) AS sold,
-                       coalesce(available_quantity, 0) - coalesce(reserved, 0) - coalesce(t.sold, 0) AS available
-                FROM p LEFT JOIN t ON t.product_id = p.id""",
-            "ch", "p",
-        ),
+        with_sql(POSITION, "ch", "p"),
     ),
+    "inventory_ledger": Registered(_ledger, with_sql(POSITION, "ch", "p")),
     # payments
     "payment_requests": Registered(
         lambda s: effects.payment_requests(_changes(s), s.orders),

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+MONTH = "order_month"
+NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder for rows without a value
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A parquet table under an explicit schema: no inference pass, and a wrong type fails early."""
     return spark.read.schema(schema).parquet(path)
@@ -32,10 +36,52 @@ def write_table(df: DataFrame, path: str, month_of: str | None = None, sort_by:
         out = df.sortWithinPartitions(*sort_by) if sort_by else df
         out.write.mode("overwrite").parquet(path)
         return
-    keyed = df.withColumn("order_month", F.date_format(month_of, "yyyy-MM"))
-    balanced = keyed.hint("rebalance", "order_month")
-    balanced = balanced.sortWithinPartitions("order_month", *sort_by)
-    balanced.write.mode("overwrite").partitionBy("order_month").parquet(path)
+    keyed = df.withColumn(MONTH, F.date_format(month_of, "yyyy-MM"))
+    balanced = keyed.hint("rebalance", MONTH)
+    balanced = balanced.sortWithinPartitions(MONTH, *sort_by)
+    balanced.write.mode("overwrite").partitionBy(MONTH).parquet(path)
+
+
+def merge_months(
+    path: str, schema: T.StructType, month_of: str, changed: DataFrame | None = None, deleted: DataFrame | None = None,
+    key: str = "id", delete_by: str = "id", sort_by: tuple[str, ...] = (), spark: SparkSession | None = None,
+) -> list[str | None]:
+    """Bring changes into a table that ``write_table`` has written by month; the months they touch are returned.
+
+    ``changed`` holds whole rows, new ones or in place of those with the same ``key``; ``deleted`` the values of
+    ``delete_by`` whose rows go, changed ones too. Months with none of these rows keep their files: they are
+    neither read beyond the key columns nor written. A month left empty loses its folder. The new files become
+    visible when the write has ended; the same changes once more give the same table.
+    """
+    spark = spark or (changed if changed is not None else deleted).sparkSession
+    current = spark.read.schema(T.StructType([*schema.fields, T.StructField(MONTH, T.StringType())])).parquet(path)
+    stale, new = [], None
+    if changed is not None:
+        new = changed.withColumn(MONTH, F.date_format(month_of, "yyyy-MM"))
+        stale.append((changed.select(key).distinct(), key))
+    if deleted is not None:
+        stale.append((deleted.select(delete_by).distinct(), delete_by))
+        new = new.join(stale[-1][0], delete_by, "left_anti").select(new.columns) if new is not None else None
+    touched = new.select(MONTH) if new is not None else current.select(MONTH).limit(0)
+    rest = current
+    for keys, by in stale:
+        touched = touched.unionByName(current.join(keys, by, "left_semi").select(MONTH))
+        rest = rest.join(keys, by, "left_anti").select(current.columns)
+    months = [row[0] for row in touched.distinct().collect()]
+    if not months:
+        return []
+    # literal months, so that the scan opens no other folder
+    rest = rest.where(F.col(MONTH).isin([m for m in months if m is not None]) | (F.col(MONTH).isNull() & F.lit(None in months)))
+    merged = rest if new is None else rest.unionByName(new.select(rest.columns))
+    left = {row[0] for row in merged.select(MONTH).distinct().collect()}
+    (
+        merged.hint("rebalance", MONTH).sortWithinPartitions(MONTH, *sort_by)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    )
+    for month in set(months) - left:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MONTH}={NO_MONTH if month is None else month}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return sorted(months, key=str)
 
 
 def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
