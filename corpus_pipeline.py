@@ -35,15 +35,7 @@ def _left(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], nulls_first:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or in none of the known languages, go. The prediction is per row."""
-    model = lang_id.fit(docs)
-
-    def rejected(rows: DataFrame) -> DataFrame:
-        return lang_id.predict(rows, model).filter(
-            (F.col("lang_pred") == lang_id.UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE)
-        )
-
-    lettered = F.coalesce("text", F.lit("")).rlike(r"\p{L}")
-    return _left(docs.filter(lettered), rejected)
+    return lang_id.keep_known(docs, lang_id.fit(docs), MIN_LANGUAGE_SCORE)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
