@@ -27,15 +27,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shared import documents, prepare
+from tallyhouse.llm.shared import documents, lean, prepare
 
 END = "\n"  # stands for the word-end suffix; no byte is written as it
 LAST = 0xE000  # letters from here on stand for a byte and the word end behind it
 REPAIRS = 4  # rounds of encoding the tokens beside a failing border anew
 SHORT = 48  # symbols up to which merging scans the list instead of keeping a heap
 NEVER = np.int64(1) << 40
-CACHED_WORDS = 400_000
-ROWS_OUT = 500
+CACHED_WORDS = 250_000
+AT_ONCE = 2 << 20  # characters encoded at once, or one longer text
 
 
 def byte_letters() -> list[str]:
@@ -359,6 +359,18 @@ def _shared(docs: DataFrame, path: str):
         return prepare(docs.sparkSession).sparkContext.broadcast(file.read())
 
 
+def _groups(sizes: list[int], limit: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive rows of about ``limit`` together."""
+    first, held = 0, 0
+    for n, size in enumerate(sizes):
+        if held and held + size > limit:
+            yield first, n - first
+            first, held = n, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes) - first
+
+
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, and ``ids``: its encoding under the vocabulary file at ``path``.
 
@@ -372,12 +384,12 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary.value)
         for whole in batches:
-            for start in range(0, whole.num_rows, ROWS_OUT):
-                batch = whole.slice(start, ROWS_OUT)
+            for first, number in _groups(pc.binary_length(whole.column(len(rest))).to_pylist()):
+                batch = whole.slice(first, number)
                 ids = tokenizer.encode(batch.column(len(rest)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*rest, "ids"])
 
-    return source.mapInArrow(run, schema + "ids array<int>")
+    return source.mapInArrow(lean(run), schema + "ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -390,13 +402,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary.value)
         for whole in batches:
-            for start in range(0, whole.num_rows, ROWS_OUT):
-                batch = whole.slice(start, ROWS_OUT)
+            lengths = pc.list_value_length(whole.column(len(columns))).fill_null(0).to_pylist()
+            for first, number in _groups(lengths):
+                batch = whole.slice(first, number)
                 ids = pa.concat_arrays([batch.column(len(columns))])
                 ids = pa.array(ids.to_pylist(), pa.list_(pa.int32())) if ids.offset else ids
                 yield pa.RecordBatch.from_arrays([*batch.columns, tokenizer.decode(ids)], names=[*columns, "ids", "decoded"])
 
-    return source.mapInArrow(run, schema + "decoded string")
+    return source.mapInArrow(lean(run), schema + "decoded string")
 
 
 def public_vocabulary(name: str) -> str:

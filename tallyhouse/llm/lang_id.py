@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import gru
-from tallyhouse.llm.shared import documents, prepare
+from tallyhouse.llm.shared import documents, lean, prepare
 
 SAMPLE_PER_LANGUAGE = 250
 SAMPLE_CHARS = 512
@@ -88,19 +88,39 @@ def score_texts(model: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray
     return pooled, positions
 
 
-def _pieces(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[tuple[list, list[str]]]:
-    """The batch in groups of about ``limit`` characters, which bounds the network's working memory."""
-    ids, values = [], []
-    held = 0
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        ids.append(doc_id)
-        values.append(text)
+def _groups(texts: list[str], limit: int = 2 << 20) -> Iterator[slice]:
+    """Rows of about ``limit`` characters together, which bounds the network's working memory; a longer text
+    is a group of its own."""
+    first, held = 0, 0
+    for n, text in enumerate(texts):
         held += len(text)
         if held > limit:
-            yield ids, values
-            ids, values, held = [], [], 0
-    if ids:
-        yield ids, values
+            yield slice(first, n + 1)
+            first, held = n + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
+def _judged(model: dict, texts: list[str]) -> tuple[list[str], list[float], list[list[int]]]:
+    """Language, score and labelled positions per language of each text; ``und`` without a letter."""
+    languages = model["languages"]
+    lettered = [any(map(str.isalpha, text)) and bool(languages) for text in texts]
+    chosen = [text.encode() for text, ok in zip(texts, lettered) if ok]
+    pooled, positions = score_texts(model, chosen) if chosen else (np.zeros((0, 1)), None)
+    at = iter(range(len(chosen)))
+    langs, scores, counts = [], [], []
+    for ok in lettered:
+        if ok:
+            row = next(at)
+            best = int(pooled[row].argmax())
+            langs.append(languages[best])
+            scores.append(min(1.0, float(pooled[row][best])))
+            counts.append([int(v) for v in positions[row]])
+        else:
+            langs.append(UNDETERMINED)
+            scores.append(0.0)
+            counts.append([0] * len(languages))
+    return langs, scores, counts
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -109,36 +129,37 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     A text that is null or has no letter is ``und`` with score 0. Rows are independent: repeated rows give
     repeated results, a null id stays null, other columns are ignored.
     """
-    languages = model["languages"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, values in _pieces(batch):
-                lettered = [any(map(str.isalpha, text)) and bool(languages) for text in values]
-                chosen = [text.encode() for text, ok in zip(values, lettered) if ok]
-                pooled, positions = score_texts(model, chosen) if chosen else (np.zeros((0, 1)), None)
-                at = iter(range(len(chosen)))
-                langs, scores, counts = [], [], []
-                for ok in lettered:
-                    if ok:
-                        row = next(at)
-                        best = int(pooled[row].argmax())
-                        langs.append(languages[best])
-                        scores.append(min(1.0, float(pooled[row][best])))
-                        counts.append([int(v) for v in positions[row]])
-                    else:
-                        langs.append(UNDETERMINED)
-                        scores.append(0.0)
-                        counts.append([0] * len(languages))
+            ids, values = batch.column(0), batch.column(1).to_pylist()
+            for part in _groups(values):
+                langs, scores, counts = _judged(model, values[part])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                    [ids[part], pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
                      pa.array(counts, pa.list_(pa.int64()))],
                     names=["doc_id", "lang_pred", "score", "positions"],
                 )
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double, positions array<bigint>")
+    return rows.mapInArrow(lean(run), "doc_id bigint, lang_pred string, score double, positions array<bigint>")
+
+
+def keep_known(docs: DataFrame, model: dict, least_score: float) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text is in a known language with at least that score. Each row
+    is judged where it is read, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [text or "" for text in batch.column("text").to_pylist()]
+            for part in _groups(values):
+                langs, scores, _ = _judged(model, values[part])
+                kept = [lang != UNDETERMINED and score >= least_score for lang, score in zip(langs, scores)]
+                yield batch.slice(part.start, part.stop - part.start).filter(pa.array(kept, pa.bool_()))
+
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op4_language_id(spark, sf_dir):

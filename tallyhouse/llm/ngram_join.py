@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.components import components
 from tallyhouse.llm.repeats import RangeHash, _mix
-from tallyhouse.llm.shared import Scratch, by_row, documents, prepare, texts
+from tallyhouse.llm.shared import Scratch, by_row, documents, lean, prepare, texts
 
 WORDS = 5
 PERCENT = 75
@@ -124,7 +124,7 @@ def frequent_shingles(rows: DataFrame, limit: int = FREQUENT) -> np.ndarray:
         if seen:
             yield repeated()
 
-    counted = rows.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(lean(run), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.filter(F.col("n") >= REPEATED).orderBy(F.desc("n"), "shingle").limit(limit)
     return np.sort(np.array([row["shingle"] for row in top.collect()], np.int64).view(np.uint64))
 
@@ -156,7 +156,7 @@ def prefixes(rows: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
                  pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix"],
             )
 
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, digest string, prefix array<bigint>")
+    return rows.mapInArrow(lean(run), "doc_id bigint, n bigint, digest string, prefix array<bigint>")
 
 
 def _bitmap(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -189,7 +189,7 @@ def bitmaps(rows: DataFrame) -> DataFrame:
                 names=["doc_id", "n", "text", "bitmap", "fine"],
             )
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, text string, bitmap binary, fine binary")
+    return rows.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, n bigint, text string, bitmap binary, fine binary")
 
 
 def most_common(n_x: int, fine_x: np.ndarray, n_y: int, fine_y: np.ndarray) -> int:
@@ -217,7 +217,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(n).filter(chosen) for n in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -238,7 +238,7 @@ def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(n).filter(chosen) for n in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 class SignatureTree:
@@ -357,7 +357,7 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
             yield result()
 
     grouped = dealt.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")
-    return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
+    return grouped.mapInArrow(lean(run), "a bigint, b bigint").distinct()
 
 
 def jaccard_links(

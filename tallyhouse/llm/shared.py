@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, after which the worker gives back the memory that it no longer uses. Spark keeps
+    workers for later tasks, and without this each keeps the most that any task of it ever needed."""
+
+    def and_release(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library than glibc
+                pass
+
+    return and_release
+
+
 class Scratch:
     """Intermediate tables of one operator call, in the folder all machines share.
 
