@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyhouse.schema import MONEY
-
-
-def zero() -> Column:
-    return F.lit(0).cast(MONEY)
 
 
 def line_total(price: Column, quantity: Column) -> Column:

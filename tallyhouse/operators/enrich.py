@@ -126,7 +126,8 @@ def enrich_items(
 
 
 def is_for_product(product: object) -> Column:
-    return F.col("product_id") == product
+    """Whether an item is of the product; an item without one is of none."""
+    return F.coalesce(F.col("product_id") == product, F.lit(False))
 
 
 def enrich_addresses(df: DataFrame, column: str, home: str) -> DataFrame:

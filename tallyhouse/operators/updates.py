@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ INVALID_MOVE = "INVALID_STATUS_TRANSITION"
 NOT_CANCELLABLE = "ORDER_NOT_CANCELLABLE"
 # Ours
 NOT_FOUND = "ORDER_NOT_FOUND"
+CONFLICT = "CONFLICTING_STATUSES"
 DONE = "DONE"
 
 
@@ -87,12 +88,15 @@ def bulk_status_outcomes(orders: DataFrame, wanted: DataFrame, enforce_final: bo
 
     ``wanted`` (order_id, new_status) gives one new status per order. No state moves to itself, so of
     repeated entries the first can succeed and the others fail. Entries that give one order different
-    statuses are a history: see ``status_history``.
+    statuses contradict each other and all fail: a batch has no order; one that has is a ``status_history``.
     """
-    asked = wanted.groupBy("order_id", "new_status").agg(F.count("*").alias("requested"))
-    allowed = st.is_move(F.col("current_status"), F.col("new_status"), enforce_final)
+    asked = wanted.groupBy("order_id", "new_status").agg(F.count("*").alias("requested")).withColumn(
+        "_statuses", F.count("*").over(Window.partitionBy("order_id"))
+    )
+    alone = F.col("_statuses") == 1
+    allowed = alone & st.is_move(F.col("current_status"), F.col("new_status"), enforce_final)
     outcome = (
-        F.when(F.col("current_status").isNull(), NOT_FOUND).when(allowed, DONE).otherwise(INVALID_MOVE)
+        F.when(F.col("current_status").isNull(), NOT_FOUND).when(~alone, CONFLICT).when(allowed, DONE).otherwise(INVALID_MOVE)
     )
     done = F.when(allowed, 1).otherwise(0).cast("bigint")
     return asked.join(_present(orders), "order_id", "left").select(

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import addresses, listings, nesting
+from tallyhouse.operators import addresses, enrich, listings, nesting
 from tallyhouse.operators import item_listings as il
 from tallyhouse.operators.paging import By, last_place, page_after, page_with_total
 from tallyhouse.plans.base import AS_OF, Registered, Shop, with_sql
@@ -61,7 +61,41 @@ def _third_page(shop: Shop) -> DataFrame:
     return page
 
 
+# single keys
+USER, PRODUCT = 7, 11
+
 QUERIES: dict[str, Registered] = {
+    "orders_of_user": Registered(lambda s: listings.orders_by_user(s.orders, USER), _orders(f"user_id = {USER}")),
+    "orders_of_user_page": Registered(
+        lambda s: listings.orders_by_user(s.orders, USER, page=1, size=3),
+        with_sql(
+            f"SELECT {ORDER} FROM o WHERE user_id = {USER} ORDER BY o.created_at DESC, id LIMIT 3 OFFSET 3", "o"
+        ),
+    ),
+    "orders_of_product": Registered(
+        lambda s: listings.orders_containing_product(s.orders, s.item_keys, PRODUCT),
+        _orders(f"id IN (SELECT l_orderkey FROM lineitem WHERE l_partkey = {PRODUCT})"),
+    ),
+    "items_of_product": Registered(
+        lambda s: il.items_by_product(s.items, s.orders, PRODUCT),
+        _items(f"i.product_id = {PRODUCT}", PARENT, ", o.created_at AS order_created_at"),
+    ),
+    "items_of_order": Registered(lambda s: il.items_by_order(s.items, USER), _items(f"i.order_id = {USER}")),
+    "purchase_history_of_product": Registered(
+        lambda s: il.purchase_history(s.items, s.orders, PRODUCT).select(
+            "user_id", "product_id", "id", "order_created_at", "quantity"
+        ),
+        with_sql(
+            f"""SELECT o.user_id, i.product_id, i.id, o.created_at AS order_created_at,
+                       cast(i.quantity AS bigint) AS quantity FROM i {PARENT} WHERE i.product_id = {PRODUCT}""",
+            "i", "o",
+        ),
+    ),
+    "items_for_product": Registered(
+        lambda s: s.item_keys.select("id", enrich.is_for_product(PRODUCT).alias("is_for_product")),
+        with_sql(f"SELECT id, product_id = {PRODUCT} AS is_for_product FROM i", "i"),
+    ),
+
     # lookups
     "lookup_orders_by_id": Registered(
         lambda s: listings.lookup_orders(s.orders, _event_ids(s)),

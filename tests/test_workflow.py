@@ -209,6 +209,11 @@ def test_bulk_and_final_rule(spark, orders):
     assert rows(updates.bulk_status_update(orders, returned)) == [(1, 1, 0)]
     assert rows(updates.bulk_status_update(orders, returned, enforce_final=True)) == [(1, 0, 1)]
     assert rows(updates.bulk_status_update(orders, returned.where("false"))) == [(0, 0, 0)]
+    # contradictory entries of one order all fail, whichever of them would be allowed
+    both = ask("CONFIRMED", "a", "a").union(ask("CANCELLED", "a")).union(ask("RETURNED", "b"))
+    assert rows(updates.bulk_status_outcomes(orders, both), "order_id", "new_status", "outcome", "successful", "failed") == [
+        ("a", "CANCELLED", "CONFLICTING_STATUSES", 0, 1), ("a", "CONFIRMED", "CONFLICTING_STATUSES", 0, 2), ("b", "RETURNED", "DONE", 1, 0),
+    ]
 
 
 def test_cancellation(spark, orders):
