@@ -1,6 +1,7 @@
 """The text operators on awkward rows, and against brute force, the tokenizers library or held-out labels."""
 
 import hashlib
+import random
 
 import pytest
 from check import difference, twin_tables
@@ -184,12 +185,34 @@ def test_decontamination(spark, awkward, empty):
         [(1, "the CAT sat\non the mat today"), (2, "on the mat"), (3, None), (4, "not in any of these texts at all"), (None, "the cat")],
         "item_id bigint, text string",
     )
-    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(awkward, items).collect())
-    assert got == [(3, 1), (3, 2), (4, 1), (4, 2)]
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(awkward, items).collect()]
+    named = [(3, 1), (3, 2), (3, None), (4, 1), (4, 2), (4, None)]
+    assert sorted(got, key=repr) == sorted([*named, (None, 1), (None, 2), (None, None)], key=repr)
     assert decontaminate.contaminated(empty, items).count() == 0
     assert decontaminate.contaminated(awkward, items.limit(0)).count() == 0
 
 
+def test_decontamination_by_size_equals_sql(spark, tmp_path):
+    """Items of one word to a hundred, several texts under one id or none, near and far matches."""
+    pick = random.Random(9)
+    words = [f"w{n}" for n in range(60)]
+    items = [" ".join(pick.choices(words, k=size)) for size in (1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 33, 50, 100)]
+    benchmark = [(n % 6 if n % 5 else None, text) for n, text in enumerate(items)] + [(1, None), (2, items[7]), (3, "")]
+    docs = []
+    for n in range(120):
+        cut = pick.choice(items).split()
+        if n % 3:
+            cut = cut[: max(1, len(cut) * pick.randrange(60, 101) // 100)]
+        docs.append((n % 100 or None, " ".join([*pick.choices(words, k=pick.randrange(9)), *cut, *pick.choices(words, k=pick.randrange(9))]), "en"))
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(benchmark, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    twin = twin_tables("/nowhere")
+    for name in ("documents", "benchmark"):
+        twin.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = QUERIES["op6_decontaminate"](spark, str(tmp_path))
+    assert got.count() > 100 and difference(got, twin, "op6_decontaminate") is None
+
+
 # --- language, licences, personal data, totals ---
 
 
