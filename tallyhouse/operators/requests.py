@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from tallyhouse.functions import address, money
 from tallyhouse.schema import MONEY
-from tallyhouse.session import stored
 
 # Rejection codes and texts, and the number prefix.
 EMPTY_ORDER = "EMPTY_ORDER"
@@ -161,15 +160,18 @@ class Created(NamedTuple):
 
 
 def create_orders(
-    headers: DataFrame, lines: DataFrame, products: DataFrame, existing: DataFrame, cumulative: bool = False
+    headers: DataFrame, lines: DataFrame, products: DataFrame, existing: DataFrame, cumulative: bool = False,
+    assessed: DataFrame | None = None,
 ) -> Created:
     """Accepted requests as PENDING orders with their items, and the rejected ones with the reason.
 
     The request id becomes the order id and ``requested_at`` the creation time, so a repeated run
-    gives the same orders. ``existing`` (order_number) holds numbers already in use. The assessment is
-    stored before the three results are made of it.
+    gives the same orders. ``existing`` (order_number) holds numbers already in use. Nothing runs before a
+    result is used, and each result assesses the requests anew; who uses several of them passes the result
+    of ``assess_requests``, written and read again, as ``assessed``.
     """
-    assessed = stored(assess_requests(headers, lines, products, cumulative), "assessed")
+    if assessed is None:
+        assessed = assess_requests(headers, lines, products, cumulative)
     accepted = assessed.where(F.col("accepted")).select(
         F.col("request_id").alias("id"), "user_id", F.col("total_amount").cast(MONEY).alias("total_amount"),
         address.render(F.col("shipping_address")).alias("shipping_address"),
