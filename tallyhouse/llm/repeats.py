@@ -13,6 +13,9 @@ The digits are chosen so that the first passes work on far fewer rows than there
    earlier, its windows are decided without being looked at one by one;
 3. the whole window.
 
+This departs from a plain radix sort, whose first digit would be the leading bytes of every suffix: one row
+per byte of the table, where the anchors are one in about thirty.
+
 Digits are compared by 64-bit hashes where a collision only costs work, and by 128 bits where it decides.
 Every pass is an aggregation to a count or a first place, which combines ahead of the shuffle.
 """
@@ -24,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shared import Scratch, by_row, documents, prepare, texts
+from tallyhouse.llm.shared import Scratch, by_row, documents, lean, prepare, texts
 
 WINDOW = 100
 GRAM = 32
@@ -150,7 +153,7 @@ def anchor_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
                     names=["gram", "doc_id", "at"],
                 )
 
-    return rows.mapInArrow(run, "gram bigint, doc_id bigint, at int")
+    return rows.mapInArrow(lean(run), "gram bigint, doc_id bigint, at int")
 
 
 def _wanted(batch: pa.RecordBatch, column: int, row: np.ndarray, position: np.ndarray) -> np.ndarray:
@@ -190,7 +193,23 @@ def block_rows(rows: DataFrame, window: int, gram: int, block: int) -> DataFrame
                         names=["core", "all_a", "all_b", "doc_id", "first", "last"],
                     )
 
-    return rows.mapInArrow(run, "core bigint, all_a bigint, all_b bigint, doc_id bigint, first int, last int")
+    return rows.mapInArrow(lean(run), "core bigint, all_a bigint, all_b bigint, doc_id bigint, first int, last int")
+
+
+def _run(first: str = "first", last: str = "last") -> Column:
+    """A run of window starts as one number, in the order of the first start."""
+    return F.shiftleft(F.col(first).cast("bigint"), 32) + F.col(last)
+
+
+def _unpacked(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return runs >> 32, runs & 0xFFFFFFFF
+
+
+def _lists(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each value, values) of a column of lists of numbers; a null list has none."""
+    lists = batch.column(column)
+    sizes = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+    return np.repeat(np.arange(batch.num_rows), sizes), np.asarray(lists.flatten(), dtype=np.int64)
 
 
 def window_rows(rows: DataFrame, window: int) -> DataFrame:
@@ -198,24 +217,29 @@ def window_rows(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, runs in zip(*(batch.column(n).to_pylist() for n in range(3))):
+            owner, runs = _lists(batch, 2)
+            order = np.lexsort((runs, owner))
+            borders = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            firsts, lasts = _unpacked(runs[order])
+            for n, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 data = np.frombuffer(text.encode(), np.uint8)
-                runs = sorted((run["first"], run["last"]) for run in runs)
-                while runs:
-                    low = runs[0][0]
-                    n = 1
-                    while n < len(runs) and runs[n][1] + window - low < PIECE:
-                        n += 1
-                    part, runs = runs[:n], runs[n:]
-                    piece = data[low:part[-1][1] + window]
-                    at = np.concatenate([np.arange(first - low, last - low + 1) for first, last in part])
+                at, end = borders[n], borders[n + 1]
+                while at < end:
+                    low = firsts[at]
+                    fits = lasts[at:end] + window - low < PIECE
+                    fits[0] = True
+                    stop = at + (len(fits) if fits.all() else int(fits.argmin()))
+                    first, last = firsts[at:stop], lasts[at:stop]
+                    size, at = last - first + 1, stop
+                    starts = np.repeat(first - low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                    piece = data[low:int(last.max()) + window]
                     yield pa.RecordBatch.from_arrays(
-                        [_signed(RangeHash(piece, 1).of(at, at + window)), _signed(RangeHash(piece, 2).of(at, at + window)),
-                         pa.array(np.full(len(at), doc_id), pa.int64()), pa.array((at + low).astype(np.int32))],
+                        [_signed(RangeHash(piece, 1).of(starts, starts + window)), _signed(RangeHash(piece, 2).of(starts, starts + window)),
+                         pa.array(np.full(len(starts), doc_id), pa.int64()), pa.array((starts + low).astype(np.int32))],
                         names=["win_a", "win_b", "doc_id", "first"],
                     )
 
-    return rows.mapInArrow(run, "win_a bigint, win_b bigint, doc_id bigint, first int")
+    return rows.mapInArrow(lean(run), "win_a bigint, win_b bigint, doc_id bigint, first int")
 
 
 def _first_places(rows: DataFrame, *key: str) -> DataFrame:
@@ -254,7 +278,7 @@ def repeated_runs(
     shared = open_blocks.groupBy("core").count().filter("count > 1").select("core")
     undecided = scratch.store(
         open_blocks.join(shared.hint("merge"), "core", "left_semi")
-        .groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")),
+        .groupBy("doc_id").agg(F.collect_list(_run()).alias("runs")),
         "undecided",
     )
     windows = scratch.store(window_rows(rows.join(undecided.hint("merge"), "doc_id"), window), "windows")
@@ -285,34 +309,40 @@ def _cut(docs: DataFrame, window: int, gram: int, block: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "repeats")
     runs = (
         repeated_runs(docs, scratch, window, gram, block)
-        .groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+        .groupBy("doc_id").agg(F.collect_list(_run()).alias("runs"))
     )
     stored = scratch.store(runs, "runs")
     scratch.drop("placed", "undecided", "windows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "n_bytes": [], "spans": [], "kept": []}
-            for doc_id, text, found in zip(*(batch.column(n).to_pylist() for n in range(3))):
+            owner, runs = _lists(batch, 2)
+            first, last = _unpacked(runs[np.lexsort((runs, owner))])
+            # a run joins the span before it if it starts no later than that ends; rows lie far apart
+            far = owner << 33
+            reach = np.maximum.accumulate(last + window + far)
+            new = np.flatnonzero(np.concatenate([[True], first[1:] + far[1:] > reach[:-1]])) if len(runs) else owner
+            starts, ends = first[new], (reach - far)[np.concatenate([new[1:] - 1, [len(runs) - 1]])] if len(runs) else first
+            offsets = np.searchsorted(owner[new], np.arange(batch.num_rows + 1))
+            sizes, kept = [], []
+            for text, a, b in zip(batch.column(1).to_pylist(), offsets[:-1], offsets[1:]):
                 data = text.encode()
-                spans: list[list[int]] = []
-                for first, last in sorted((run["first"], run["last"]) for run in found or ()):
-                    if spans and first <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], last + window)
-                    else:
-                        spans.append([first, last + window])
-                edges = [0, *(edge for span in spans for edge in span), len(data)]
-                out["doc_id"].append(doc_id)
-                out["n_bytes"].append(len(data))
-                out["spans"].append([{"start": start, "end": end} for start, end in spans])
-                out["kept"].append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-                ("doc_id", pa.int64()), ("n_bytes", pa.int64()),
-                ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.binary()),
-            ]))
+                sizes.append(len(data))
+                if a == b:
+                    kept.append(data)
+                    continue
+                gaps = zip([0, *ends[a:b].tolist()], [*starts[a:b].tolist(), len(data)])
+                kept.append(b"".join(data[low:high] for low, high in gaps))
+            spans = pa.StructArray.from_arrays(
+                [pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], names=["start", "end"]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), spans),
+                 pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"],
+            )
 
     return texts(docs).join(stored.hint("merge"), "doc_id", "left").mapInArrow(
-        cut, "doc_id bigint, n_bytes bigint, spans array<struct<start: int, end: int>>, kept binary"
+        lean(cut), "doc_id bigint, n_bytes bigint, spans array<struct<start: int, end: int>>, kept binary"
     )
 
 
