@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from check import difference, twin_tables
@@ -268,6 +269,50 @@ def test_personal_data(spark, awkward, empty):
     assert pii.find_pii(awkward).count() == 11 and pii.find_pii(empty).count() == 0
 
 
+def test_accepted_values_are_seeds_of_further_patterns(spark):
+    """"call us" precedes base matches and, one time in ten, other forms; these alone stand behind "fax line",
+    and at the start of lines that follow "numbers to reach us at"."""
+    loose = [f"212-555-0{n}" for n in range(100, 104)]
+    rows = [(n, f"call us +1 (212) 555-0{n}", "en") for n in range(200, 240)]
+    rows += [(n, f"call us {value}", "en") for n, value in enumerate(loose)]
+    rows += [(10 + n, f"fax line {value}", "en") for n, value in enumerate(loose)]
+    rows += [(20, "numbers to reach us at\n" + loose[0], "en"), (21, "to reach us at:\n" + loose[1], "en"), (22, "at reach us at\n" + loose[2], "en")]
+    rows += [(30, "part no 212-555-0777", "en"), (31, "fax line 212-555-0888", "en")]
+    got = {r["doc_id"]: len(r["found"]) for r in pii.find_pii(table(spark, rows)).collect()}
+    assert all(got[n] == 1 for n in (0, 1, 2, 3, 10, 11, 12, 13, 20, 21, 22)) and got[30] == 0
+    # four of the five values behind "fax line" are accepted, and the fifth is as good as the pattern
+    assert got[31] == 1
+
+
+def test_scores_settle_beyond_three_rounds(spark):
+    """Half of a pattern's values are loose forms seen behind it alone: 0.5, 0.75, 0.875, 0.9375."""
+    edges = [("phone", "call us", f"seed{n}", True) for n in range(6)] + [("phone", "call us", f"other{n}", False) for n in range(6)]
+    edges += [("phone", "part no", f"part{n}", False) for n in range(9)] + [("phone", "part no", "seed1", True)]
+    frame = spark.createDataFrame(edges, "kind string, pattern string, value string, is_seed boolean")
+    assert [r["pattern"] for r in pii.good_patterns(frame, Scratch(spark, "t")).collect()] == ["call us"]
+
+
+def test_context():
+    assert pii.context("Call Us 12 at x", 14) == "00 at" and pii.context("x", 0) is None
+    assert pii.context("reach us:\n x", 11) == "reach us |" and pii.context("\n\nx", 2) is None
+    assert pii.context("a " + "w" * 500 + " " + "v" * 500 + " x", 1004) == "w" * 500 + " " + "v" * 500
+
+
+def test_base_matches_equal_the_patterns():
+    pick = random.Random(3)
+    for _ in range(30_000):
+        text = "".join(pick.choices("a1.@-+ (9_é", [3, 4, 4, 3, 1, 1, 1, 1, 2, 1, 1], k=pick.randrange(40)))
+        for kind, pattern in pii.BASE.items():
+            assert list(pii.base_matches(kind, text)) == [m.span() for m in pattern.finditer(text)], (kind, text)
+
+
+def test_long_runs_take_linear_time():
+    began = time.process_time()
+    for run in ("7" * 2_000_000, "a" * 2_000_000 + "@", "a@" * 700_000, "1." * 1_000_000, "a." * 1_000_000 + "@b.c", "+1" + " " * 2_000_000):
+        pii.base_spans(run)
+    assert time.process_time() - began < 30
+
+
 def test_totals_are_idempotent(spark, tmp_path):
     rollup = token_counts.TokenRollup(spark, str(tmp_path / "totals"))
     docs = table(spark, [(1, "a b", "en"), (2, None, None), (3, "c", "en")])
@@ -280,6 +325,24 @@ def test_totals_are_idempotent(spark, tmp_path):
     assert rollup.version() == 2 and rollup.commit("three", token_counts.signed(counts.where("doc_id < 0"), 1))
 
 
+def test_empty_tables(spark, empty, tmp_path):
+    """No documents, with columns of other names besides: every stage and the token counts give no rows."""
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some benchmark text")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "tokens" or out.columns == docs.columns), name
+    assert QUERIES["op3_token_counts"](spark, str(tmp_path)).count() == 0
+
+
+def test_token_counts_of_awkward_rows(spark, awkward, tmp_path):
+    awkward.write.parquet(f"{tmp_path}/documents.parquet")
+    twin = twin_tables("/nowhere")
+    twin.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert difference(QUERIES["op3_token_counts"](spark, str(tmp_path)), twin, "op3_token_counts") is None
+
+
 def test_pipeline(spark, awkward, texts):
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, SMALL).select("doc_id").collect()}
     lettered = {i: t for i, t in texts.items() if any(map(str.isalpha, t))}
