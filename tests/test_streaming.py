@@ -56,6 +56,18 @@ def test_late_and_shuffled_events_are_judged_in_time_order(spark, tmp_path):
     assert rows(got, *COLUMNS) == rows(history.status_history(events), *COLUMNS)
 
 
+def test_long_orders_wait_in_the_state_store(spark, tmp_path):
+    """The orders have more events in a trigger than are held in memory; arrival is at random, three rows repeat."""
+    random = Random(9)
+    targets = ["CONFIRMED", "PROCESSING", "SHIPPED", "DELIVERED", "RETURNED", None]
+    start = at("2024-01-01")
+    data = [(order, n, start + timedelta(seconds=n), random.choice(targets)) for order in ("hot", "b") for n in range(60)]
+    events = spark.createDataFrame(data + data[5:8], schema.STATUS_EVENTS)
+    stream = stream_of(spark, events.orderBy(F.rand(5)), tmp_path, ["true"])
+    got = jobs.run_to_the_end(stream, CLOSING, lambda e: jobs.stream_status_machine(e, in_memory=7))
+    assert rows(got, *COLUMNS) == rows(history.status_history(events), *COLUMNS)
+
+
 def test_events_wait_for_the_watermark_and_leave_once(spark, tmp_path):
     start = at("2024-01-01")
     events = spark.createDataFrame(
