@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.paging import page_of, page_per_key
+from tallyhouse.operators.paging import first_per_key, page_of, page_per_key
+
+# Where items come without their product columns, this adds them to the rows that are left: only narrow rows
+# are then shuffled to meet their orders. Rows of a product share its columns.
+Snapshot = Callable[[DataFrame], DataFrame]
 
 
 def _with_created(items: DataFrame, orders: DataFrame, *extra: str) -> DataFrame:
@@ -38,11 +43,17 @@ def items_by_order(items: DataFrame, order: object | None = None) -> DataFrame:
 
 def items_by_product(
     items: DataFrame, orders: DataFrame, product: object | None = None,
-    page: int | None = None, size: int | None = None,
+    page: int | None = None, size: int | None = None, snapshot: Snapshot | None = None,
 ) -> DataFrame:
     if product is not None:
         items = items.where(F.col("product_id") == product)
-    return _of_key(_with_created(items, orders), "product_id", product, page, size)
+    rows = _with_created(items, orders)
+    if snapshot is not None:
+        if product is None and page is not None and size is not None:
+            # narrow rows are cut to those a page may have; the snapshot may repeat or drop rows, so it is ranked again
+            rows = first_per_key(rows, ["product_id"], _newest(), (page + 1) * size, "position").drop("position")
+        rows = snapshot(rows)
+    return _of_key(rows, "product_id", product, page, size)
 
 
 def items_by_sku(items: DataFrame, orders: DataFrame, sku: str | None = None) -> DataFrame:
@@ -90,9 +101,11 @@ def purchase_history(
 
 
 def items_by_order_status(
-    items: DataFrame, orders: DataFrame, status: str, page: int | None = None, size: int | None = None
+    items: DataFrame, orders: DataFrame, status: str, page: int | None = None, size: int | None = None,
+    snapshot: Snapshot | None = None,
 ) -> DataFrame:
-    return page_of(_with_created(items, orders.where(F.col("status") == status)), _newest(), page, size)
+    rows = _with_created(items, orders.where(F.col("status") == status))
+    return page_of(rows if snapshot is None else snapshot(rows), _newest(), page, size)
 
 
 def delete_items_for_orders(items: DataFrame, keys: DataFrame) -> DataFrame:

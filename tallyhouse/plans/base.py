@@ -43,6 +43,10 @@ class Shop:
     def item_keys(self) -> DataFrame:
         return star.item_keys(self.spark, self.folder)
 
+    def snapshot(self, lines: DataFrame) -> DataFrame:
+        """Item keys and what was joined to them, with the product columns of ``items``."""
+        return star.with_snapshot(lines, self.spark, self.folder)
+
     @property
     def products(self) -> DataFrame:
         return star.products(self.spark, self.folder)

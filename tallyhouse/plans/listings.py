@@ -254,10 +254,10 @@ QUERIES: dict[str, Registered] = {
     # item listings
     "items_by_order": Registered(lambda s: il.items_by_order(s.items), _items("true")),
     "items_by_product": Registered(
-        lambda s: il.items_by_product(s.items, s.orders), _items("true", PARENT, ", o.created_at AS order_created_at")
+        lambda s: il.items_by_product(s.item_keys, s.orders, snapshot=s.snapshot), _items("true", PARENT, ", o.created_at AS order_created_at")
     ),
     "items_by_product_page": Registered(
-        lambda s: il.items_by_product(s.items, s.orders, page=0, size=4),
+        lambda s: il.items_by_product(s.item_keys, s.orders, page=0, size=4, snapshot=s.snapshot),
         with_sql(
             f"""SELECT {ITEM}, i.order_created_at, i.position FROM (
                   SELECT i.*, o.created_at AS order_created_at,
@@ -308,11 +308,11 @@ QUERIES: dict[str, Registered] = {
         ),
     ),
     "items_by_order_status": Registered(
-        lambda s: il.items_by_order_status(s.items, s.orders, "CONFIRMED"),
+        lambda s: il.items_by_order_status(s.item_keys, s.orders, "CONFIRMED", snapshot=s.snapshot),
         _items("o.status = 'CONFIRMED'", PARENT, ", o.created_at AS order_created_at"),
     ),
     "items_by_order_status_page": Registered(
-        lambda s: il.items_by_order_status(s.items, s.orders, "CONFIRMED", page=1, size=50),
+        lambda s: il.items_by_order_status(s.item_keys, s.orders, "CONFIRMED", page=1, size=50, snapshot=s.snapshot),
         with_sql(
             f"""SELECT {ITEM}, o.created_at AS order_created_at FROM i {PARENT} WHERE o.status = 'CONFIRMED'
                 ORDER BY o.created_at DESC, i.id LIMIT 50 OFFSET 50""",

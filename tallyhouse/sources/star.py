@@ -141,6 +141,9 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+LINE = ("id", "order_id", "product_id", "quantity", "source_price")
+
+
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     """Item keys alone; the id spells out the line, so no numbering pass is needed."""
     quantity = F.col("l_quantity").cast("int")
@@ -166,6 +169,12 @@ def item_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 def items(spark: SparkSession, folder: str, dirty: bool = False) -> DataFrame:
     """Items with product snapshot; ``dirty`` spoils the line total of every tenth order."""
+    return with_snapshot(_lines(spark, folder), spark, folder, dirty)
+
+
+def with_snapshot(lines: DataFrame, spark: SparkSession, folder: str, dirty: bool = False) -> DataFrame:
+    """The lines with the columns of their product, for jobs that cut the lines or join them narrow first.
+    Further columns of the lines come last."""
     catalogue = products(spark, folder).select(
         F.col("id").alias("product_id"),
         F.col("name").alias("product_name"),
@@ -175,9 +184,10 @@ def items(spark: SparkSession, folder: str, dirty: bool = False) -> DataFrame:
     line_total = money.line_total(F.col("unit_price"), F.col("quantity")).cast(MONEY)
     if dirty:
         line_total = F.when(F.col("order_id") % 10 == 0, F.col("source_price")).otherwise(line_total)
-    return _lines(spark, folder).join(catalogue, "product_id").select(
+    further = [name for name in lines.columns if name not in LINE]
+    return lines.join(catalogue, "product_id").select(
         "id", "order_id", "product_id", "product_name", "product_sku", "quantity", "unit_price",
-        line_total.alias("total_price"),
+        line_total.alias("total_price"), *further,
     )
 
 

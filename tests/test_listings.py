@@ -140,3 +140,20 @@ def test_item_listings(orders, make_items, spark):
     assert ids(item_listings.items_by_order_and_product(items, keys)) == ["1"]
     assert ids(item_listings.delete_items_for_orders(items, keys.select("order_id"))) == ["3"]
     assert ids(item_listings.items_by_orders(items, orders, keys.select("order_id"))) == ["2", "1"]
+
+
+def test_products_join_the_rows_that_are_left(make_orders, make_items, spark):
+    """Items without their product columns give what whole items give; one product is listed twice, one unknown."""
+    orders = make_orders(*((f"o{n}", "u", "PENDING" if n % 3 else "SHIPPED", "1.00", f"2024-01-{n + 1:02d}") for n in range(9)))
+    items = make_items(*((f"i{n}", f"o{n % 10}", f"p{n % 4}", "", 1, "1.00") for n in range(40)))
+    catalogue = spark.createDataFrame([("p0", "A"), ("p1", "B"), ("p1", "B"), ("p3", "C")], "product_id string, product_name string")
+
+    def snapshot(lines):
+        return lines.join(catalogue, "product_id")
+
+    narrow = items.select("id", "order_id", "product_id")
+    for size in (3, 2_000):
+        whole = item_listings.items_by_product(snapshot(narrow), orders, page=0, size=size)
+        assert rows(item_listings.items_by_product(narrow, orders, page=0, size=size, snapshot=snapshot), *whole.columns) == rows(whole)
+    whole = item_listings.items_by_order_status(snapshot(narrow), orders, "PENDING")
+    assert rows(item_listings.items_by_order_status(narrow, orders, "PENDING", snapshot=snapshot), *whole.columns) == rows(whole)
