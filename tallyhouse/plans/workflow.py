@@ -196,7 +196,7 @@ def _merged_orders(shop: Shop) -> DataFrame:
 def _merged_items(shop: Shop) -> DataFrame:
     """Items written by the month of their order, those of every 97th order deleted, read again."""
     path, created = shared_folder(shop.spark, "merged"), shop.orders.select(F.col("id").alias("order_id"), "created_at")
-    items = shop.items.join(created, "order_id")
+    items = shop.snapshot(shop.item_keys.join(created, "order_id"))
     tables.write_table(items, path, month_of="created_at")
     gone = shop.orders.where("id % 97 = 5").select(F.col("id").alias("order_id"))
     tables.merge_months(path, items.schema, "created_at", deleted=gone, delete_by="order_id")

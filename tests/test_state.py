@@ -61,6 +61,20 @@ def test_an_emptied_month_loses_its_folder(spark, by_month):
     assert not any("2024-03" in name or "HIVE" in name for name in files(path))
 
 
+@pytest.mark.parametrize("keys_sent", [0, 100])
+def test_keys_sent_or_joined_by_sorting(spark, by_month, keys_sent):
+    path, want = by_month
+    changed = [("2-3", datetime(2024, 2, 4), "new"), ("3-5", datetime(2024, 5, 9), "moved")]
+    deleted = spark.createDataFrame([(f"4-{n}",) for n in range(12)], "id string")
+    months = tables.merge_months(
+        path, SCHEMA, "created_at", spark.createDataFrame(changed, SCHEMA), deleted, keys_sent=keys_sent
+    )
+    assert months == ["2024-02", "2024-03", "2024-04", "2024-05"]
+    want = {i: r for i, r in want.items() if not i.startswith("4-")} | {row[0]: row for row in changed}
+    assert content(spark, path) == sorted(want.values(), key=repr)
+    assert not any("2024-04" in name for name in files(path))
+
+
 def test_changed_and_deleted_is_deleted(spark, by_month):
     path, want = by_month
     changed = spark.createDataFrame([("1-0", datetime(2024, 1, 1), "new"), ("8-8", datetime(2024, 8, 8), "new")], SCHEMA)
