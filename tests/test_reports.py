@@ -4,11 +4,13 @@ from itertools import combinations
 from random import Random
 
 import pytest
-from conftest import at, rows
+from conftest import SMALL, at, rows
 from pyspark.sql import functions as F
 
 from tallyhouse import schema
 from tallyhouse.operators import stats, views
+from tallyhouse.plans import QUERIES
+from tallyhouse.plans.base import Shop
 
 
 def test_seed_rows(seed):
@@ -131,3 +133,13 @@ def test_replenishment_with_and_without_stock(make_orders, make_items, make_prod
     products = make_products(("q", "Q", "1.00", True, 3))
     with_stock = stats.replenishment_candidates(items, orders, at("2024-01-01"), products=products)
     assert rows(with_stock, "product_id", "available_quantity") == [("p", None), ("q", 3)]
+
+
+def test_all_pairs_are_all_pairs(spark):
+    """The registered query lists every pair, not the most frequent ones."""
+    shop = Shop(spark, SMALL)
+    sold = shop.item_keys.join(shop.orders.where("status IN ('SHIPPED', 'DELIVERED')").selectExpr("id AS order_id"), "order_id")
+    lines = sold.select("order_id", "product_id")
+    pairs = lines.join(lines.withColumnRenamed("product_id", "other"), "order_id").where("product_id < other")
+    want = pairs.select("product_id", "other").distinct().count()
+    assert want > 500 and QUERIES["bought_together_all"](spark, SMALL).count() == want
