@@ -20,7 +20,7 @@ class Shop:
     """The contract tables of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark = configure(spark)
+        self.spark = configure(spark, star.stored_bytes(spark, folder))
         self.folder = folder
 
     @property

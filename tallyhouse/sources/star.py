@@ -47,6 +47,16 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def stored_bytes(spark: SparkSession, folder: str) -> int:
+    """The size of the tables that the folder has, from its listing alone."""
+    total = 0
+    for name in SCHEMAS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        total += system.getContentSummary(path).getLength() if system.exists(path) else 0
+    return total
+
+
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The same table as a stream of the files in the folder."""
     stream = spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")

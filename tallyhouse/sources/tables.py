@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.session import file_sizes
 
 MONTH = "order_month"
 KEYS_SENT = 1_000_000  # so many keys of changes are sent to every executor; more are joined by sorting
@@ -41,7 +42,8 @@ def write_table(df: DataFrame, path: str, month_of: str | None = None, sort_by:
     keyed = df.withColumn(MONTH, F.date_format(month_of, "yyyy-MM"))
     balanced = keyed.hint("rebalance", MONTH)
     balanced = balanced.sortWithinPartitions(MONTH, *sort_by)
-    balanced.write.mode("overwrite").partitionBy(MONTH).parquet(path)
+    with file_sizes(df.sparkSession):
+        balanced.write.mode("overwrite").partitionBy(MONTH).parquet(path)
 
 
 def merge_months(
@@ -103,10 +105,11 @@ def _merge(
         merged = (rest if new is None else rest.unionByName(new)).hint("rebalance", MONTH)
     folders = [spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MONTH}={NO_MONTH if month is None else month}") for month in months]
     before = [_files(spark, folder) for folder in folders]
-    (
-        merged.sortWithinPartitions(MONTH, *sort_by)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
-    )
+    with file_sizes(spark):
+        (
+            merged.sortWithinPartitions(MONTH, *sort_by)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+        )
     for folder, files in zip(folders, before):
         if files & _files(spark, folder):  # the write replaces the files of every month that has rows
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

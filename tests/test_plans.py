@@ -7,11 +7,11 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from tallyhouse import schema
+from tallyhouse import schema, session
 from tallyhouse.operators import listings, stats, views
 from tallyhouse.plans import QUERIES
 from tallyhouse.plans.base import Shop
-from tallyhouse.sources import tables
+from tallyhouse.sources import star, tables
 
 
 def plan(df):
@@ -91,6 +91,50 @@ def test_pairs_need_one_shuffle_of_the_items(spark, stored):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+@pytest.fixture
+def sizes(spark):
+    """The settings of the bytes of a task; they are as before after the test."""
+    keys = (*session.MOST_BYTES, session.INITIAL_PARTITIONS)
+    for key in keys:
+        spark.conf.unset(key)
+    yield keys
+    for key in keys:
+        spark.conf.unset(key)
+    session.configure(spark)
+
+
+def test_a_task_reads_few_bytes_and_files_keep_their_size(spark, sizes):
+    shuffled, read, _ = sizes
+    session.configure(spark)
+    assert [session._bytes(spark.conf.get(key)) >> 20 for key in (shuffled, read)] == [16, 32]
+    with session.file_sizes(spark):
+        assert [session._bytes(spark.conf.get(key)) >> 20 for key in (shuffled, read)] == [64, 128]
+    assert [session._bytes(spark.conf.get(key)) >> 20 for key in (shuffled, read)] == [16, 32]
+    spark.conf.set(shuffled, "8m")
+    session.configure(spark)
+    assert spark.conf.get(shuffled) == "8m"
+
+
+@pytest.mark.parametrize("name", ["check_stock_cumulative", "bought_together_all"])
+def test_larger_tables_are_dealt_into_more_tasks(spark, sizes, monkeypatch, name):
+    """Tables that are large for the session's 4 shuffle partitions: no task gets a fourth of the rows."""
+    want = QUERIES[name](spark, SMALL).collect()
+    assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None
+    monkeypatch.setattr(session, "STORED_BYTES_PER_PARTITION", 4 << 10)
+    monkeypatch.setattr(session, "MOST_BYTES", dict.fromkeys(session.MOST_BYTES, 4 << 10))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        dealt = QUERIES[name](spark, SMALL)
+        assert int(spark.conf.get(session.INITIAL_PARTITIONS)) == star.stored_bytes(spark, SMALL) >> 12
+        assert sorted(dealt.collect()) == sorted(want)
+        shares = dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count("*")).first()
+        assert shares[0] < len(want) / 4 and shares[1] > 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark, stored):
     orders, items = stored
     tables.save_bucketed(orders.drop("order_month"), "bucketed_orders", "id", 4)
