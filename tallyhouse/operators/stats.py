@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import money
@@ -282,9 +282,9 @@ def bought_together(
 def _within_reach(lines: DataFrame, min_frequency: int) -> DataFrame:
     """Drop products no pair of which can be frequent: the lines of the product times the largest line
     count in the order, summed over all orders, bounds the count of each of its pairs from above."""
-    most = lines.groupBy("order_id").agg(F.max("lines").alias("most"))
+    most = F.max("lines").over(Window.partitionBy("order_id"))
     reach = (
-        lines.join(most, "order_id")
+        lines.withColumn("most", most)
         .groupBy(*PAIR_KEY).agg(F.sum(F.col("lines") * F.col("most")).alias("reach"))
         .where(F.col("reach") >= min_frequency)
         .select(*(F.col(name).alias(f"reached_{name}") for name in PAIR_KEY))
@@ -299,8 +299,8 @@ def _pairs(lines: DataFrame, pair_slice: int) -> DataFrame:
     One side of an order is dealt into slices of about ``pair_slice`` products, the other is repeated for
     each of them. How many slices an order has is counted inside the plan.
     """
-    slices = lines.groupBy("order_id").agg(F.ceil(F.count("*") / pair_slice).cast("int").alias("_slices"))
-    sliced = lines.join(slices, "order_id")
+    products = F.count("*").over(Window.partitionBy("order_id"))
+    sliced = lines.withColumn("_slices", F.ceil(products / pair_slice).cast("int"))
 
     def side(rows: DataFrame, n: int) -> DataFrame:
         return rows.drop("_slices").withColumnsRenamed(

@@ -91,6 +91,21 @@ def test_pairs_need_one_shuffle_of_the_items(spark, stored):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+@pytest.mark.parametrize("min_frequency", [1, 2])
+def test_pairs_meet_the_orders_once_for_each_use_of_the_lines(spark, stored, min_frequency):
+    """Product counts per order come along with the lines: a join with them would do the work before it twice in a task."""
+    orders, items = stored
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(stats.bought_together(items, orders, min_frequency))
+        on_order = [line for line in text.splitlines() if "SortMergeJoin [order_id" in line and "slice" not in line]
+        assert len(on_order) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 @pytest.fixture
 def sizes(spark):
     """The settings of the bytes of a task; they are as before after the test."""
